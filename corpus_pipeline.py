@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.llm import language_id, packing, quality_classifier
+from docspark.llm import decontamination, language_id, ngram_join, packing, quality_classifier
 from docspark.llm.common import table
 from docspark.llm.queries import tokenizer_path
 
@@ -25,12 +25,28 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_classifier.accepted(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked documents."""
+    return ngram_join.one_of_each(docs, ngram_join.ngram_join(docs))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of all documents' pieces in training sequences."""
     return packing.packed_documents(docs, tokenizer_path())
 
 
-STAGES = [("language_id", language_stage), ("quality_classifier", quality_stage), ("best_fit_packing", packing_stage)]
+STAGES = [
+    ("language_id", language_stage),
+    ("quality_classifier", quality_stage),
+    ("ngram_join", near_copy_stage),
+    ("decontamination", decontamination_stage),
+    ("best_fit_packing", packing_stage),
+]
 
 #: The stages train models and tokenise, which SQL can't express; tests hold them against brute force.
 ORACLE_SQL = None

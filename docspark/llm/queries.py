@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, packing, quality_classifier, quality_rules, toxicity
+from . import chat, decontamination, language_id, ngram_join, packing, quality_classifier, quality_rules, sharding, toxicity, url_filter
 from .common import held_out, table
 
 
@@ -19,6 +19,27 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, model).select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted")
 
 
+def op3_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = sharding.kd_shards(table(spark, sf_dir, "documents"), n_shards=24)
+    return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
+def op6_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.UrlFilter())
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs)
@@ -43,8 +64,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_quality_classifier, op8_language_id, op9_best_fit_packing, op10_toxicity)
-}
+    for f in (
+        op1_quality_rules, op2_quality_classifier, op3_kd_sharding, op4_decontamination, op5_ngram_join,
+        op6_perspective_rotation, op7_url_filter, op8_language_id, op9_best_fit_packing, op10_toxicity,
+    )
+}
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_perspective_rotation": chat.ORACLE, "op7_url_filter": url_filter.ORACLE}
