@@ -84,6 +84,14 @@ class Array(Node):
     items: tuple
 
 
+@dataclass(frozen=True)
+class Follow(Node):
+    """A path that goes on from the value of an expression."""
+
+    base: Node
+    steps: tuple
+
+
 @dataclass(frozen=True)
 class Group(Node):
     """An expression in parentheses."""
@@ -221,6 +229,10 @@ def fields_of(node: object, own: bool = True) -> list[str]:
                 walk(v, source)
         elif isinstance(x, Group):
             walk(x.inner, source)
+        elif isinstance(x, Follow):
+            walk(x.base, source)
+            for s in x.steps:
+                walk(s, False)
 
     walk(node, False)
     return list(found)
@@ -246,6 +258,8 @@ def uses_source(node: object) -> bool:
         return any(map(uses_source, node.items))
     if isinstance(node, Group):
         return uses_source(node.inner)
+    if isinstance(node, Follow):
+        return uses_source(node.base) or any(map(uses_source, node.steps))
     return False
 
 

@@ -11,7 +11,7 @@ from decimal import Decimal
 
 from .lexer import ParseError, Token, tokenize
 from .nodes import (
-    Array, At, Binary, Call, Command, CreateIndex, Delete, Document, DropCollection, DropIndex, Every, Group, Insert, Lambda, Lit, Member, Node, Param, Path, Pragma,
+    Array, At, Binary, Call, Command, CreateIndex, Delete, Document, DropCollection, DropIndex, Every, Follow, Group, Insert, Lambda, Lit, Member, Node, Param, Path, Pragma,
     Projection, Quantified, RenameCollection, Select, Update, Where, default_name,
 )
 
@@ -127,12 +127,12 @@ class _Parser:
                 self.take()
                 inner = self.expression(scope)
                 self.expect(")")
-                return Group(inner)
+                return self.more(Group(inner))
             if t.text == "@":
                 after = self.ahead()
                 if after.kind in ("int", "word") and not after.spaced:
                     self.take()
-                    return Param(self.take().text)
+                    return self.more(Param(self.take().text))
                 return self.path(scope)
             if t.text == "$":
                 return self.path(scope)
@@ -170,7 +170,9 @@ class _Parser:
         return self.more(Call(name, tuple(self.items(")", scope))))
 
     def more(self, node: Node) -> Node:
-        return node
+        steps: list = []
+        self.steps(steps)
+        return Follow(node, tuple(steps)) if steps else node
 
     def key(self) -> str:
         if self.now.kind in ("word", "string"):

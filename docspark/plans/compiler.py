@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import lookup
-from ..language.nodes import Array, At, Binary, Call, Document, Every, Group, Lambda, Lit, Member, Node, Param, Path, Quantified, Where
+from ..language.nodes import Array, At, Binary, Call, Document, Every, Follow, Group, Lambda, Lit, Member, Node, Param, Path, Quantified, Where
 from .values import (
     AnalysisError, Val, array, as_many, as_one, between, boolean, collect, common, compare, contained, document, equal, is_array, is_date, is_null, is_number, is_string, like,
     literal, null, simple, text, to_type,
@@ -115,6 +115,10 @@ class Compiler:
             raise AnalysisError("fields of the document can't be read here: use an aggregate over *" if c.grouped or c.rows is not None else f"{node.scope} can't be used here")
         return self.walk(v, node.steps)
 
+    def do_follow(self, node: Follow) -> Val:
+        v = self(node.base)
+        return self.map_rows(v, lambda e: self.walk(e, node.steps)) if v.kind == "rows" else self.map(v, lambda e: self.walk(e, node.steps)) if v.kind == "many" else self.walk(v, node.steps)
+
     def walk(self, v: Val, steps: tuple) -> Val:
         for k, step in enumerate(steps):
             if v.kind == "many":  # what follows is for each element
