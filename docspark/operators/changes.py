@@ -48,9 +48,10 @@ def frame(spark: object, documents: list[dict], schema: T.StructType | None = No
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r, allowMissingColumns=True)
+    types = {f.name: f.dataType for f in schema.fields} if schema else {}
     for name in names.values():
         if name not in out.columns:
-            out = out.withColumn(name, F.lit(None).cast("string"))
+            out = out.withColumn(name, F.lit(None).cast(types.get(name, T.StringType())))
     return out.select(*[F.col(f"`{n}`") for n in sorted(names.values(), key=lambda n: n != "_id")])
 
 
