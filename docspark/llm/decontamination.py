@@ -5,7 +5,7 @@ the chunk's score for its own words, so that one threshold suits short and long
 passage of every training document queries it: passages are windows of three tiles of
 TILE_WORDS words, one tile apart, so that a whole chunk lies in some window.  Two bounds (the sum
 of the terms' largest impacts, then of their largest impacts by block of chunks) settle most
-windows with vector arithmetic; the others are searched with block-max WAND, which returns all
+windows with vector arithmetic over all tiles; the others are searched with block-max WAND, which returns all
 chunks above the threshold.  Each find is verified on the items' words: the share of the word
 n-grams of the question and of the answer that stand in the passage and its surroundings.
 
@@ -35,9 +35,10 @@ from .common import shingle_hashes, text_batches, word_hashes
 
 TILE_WORDS = 32
 CHUNK_WORDS = 64
-BLOCK = 16
-#: Items of one index: with 64 words each about 10 MB.
-ITEMS_AT_ONCE = 5_000
+#: Chunks of a block.  Windows have many common words, whose bounds add up quickly over large blocks.
+BLOCK = 4
+#: Items of one index: with 64 words each about 20 MB.
+ITEMS_AT_ONCE = 1_000
 THRESHOLD = 0.5
 MIN_OVERLAP = 0.5
 GRAM = 3
@@ -117,13 +118,21 @@ def build(rows: list[tuple[int, str, str]]) -> Index:
 
 
 def search(index: Index, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
-    """All (chunk, score) with a score of ``threshold`` or more for a set of terms, by block-max WAND."""
+    """All (chunk, score) with a score of ``threshold`` or more for a set of terms, by block-max WAND.
+
+    Only the blocks whose bounds add up to the threshold are walked.
+    """
     slack = threshold - 1e-6
+    worth = index.block_max[terms].sum(axis=0) >= slack
+    if not worth.any():
+        return []
     cursors = []  # [current chunk, place, chunks, impacts, largest impact, impacts by block]
     for t in terms.tolist():
         a, b = index.first[t], index.first[t + 1]
-        chunks = index.chunks[a:b].tolist()
-        cursors.append([chunks[0], 0, chunks, index.impacts[a:b].tolist(), float(index.term_max[t]), index.block_max[t]])
+        good = worth[index.chunks[a:b] // BLOCK]
+        if good.any():
+            chunks = index.chunks[a:b][good].tolist()
+            cursors.append([chunks[0], 0, chunks, index.impacts[a:b][good].tolist(), float(index.term_max[t]), index.block_max[t]])
 
     def move(c: list, to: int) -> bool:
         c[1] = bisect_left(c[2], to, c[1])
@@ -179,24 +188,33 @@ def matches(index: Index, texts: list[str], threshold: float, min_overlap: float
     tile = tile_first[owner[known]] + (known - first[owner[known]]) // TILE_WORDS
     pair = np.unique(tile * len(index.words) + at[known])  # a term counts once in a tile
     tile, term = pair // len(index.words), pair % len(index.words)
-    bound = np.bincount(tile, weights=index.term_max[term], minlength=tile_first[-1])
-    padded = np.concatenate((bound, [0, 0]))
+    spans = np.searchsorted(tile, np.arange(tile_first[-1] + 1))
     own = np.repeat(np.arange(len(texts)), tiles)
-    same = lambda k: np.concatenate((own[k:] == own[:-k], np.zeros(k, bool))) if len(own) > k else np.zeros(len(own), bool)
-    window = bound + np.where(same(1), padded[1:-1], 0) + np.where(same(2), padded[2:], 0)
     # the windows of a text start at each of its tiles but the last two, and at its first
-    last = np.maximum(tile_first[1:] - 3, tile_first[:-1])[own]
-    place = np.arange(len(own))
-    spans = np.searchsorted(tile, np.arange(tile_first[-1] + 1))
+    start_tile = np.flatnonzero(np.arange(len(own)) <= np.maximum(tile_first[1:] - 3, tile_first[:-1])[own])
+    end_tile = np.minimum(start_tile + 3, tile_first[1:][own[start_tile]])
+    # first the terms' largest impacts, then, for what passes, their largest in each block of chunks
+    whole = np.concatenate(([0.0], np.cumsum(np.bincount(tile, weights=index.term_max[term], minlength=tile_first[-1]))))
+    some = whole[end_tile] - whole[start_tile] >= threshold - 1e-6
+    start_tile, end_tile = start_tile[some], end_tile[some]
+    if not len(start_tile):
+        return []
+    by_block = np.zeros((tile_first[-1] + 2, index.block_max.shape[1]), np.float32)
+    filled = spans[1:] > spans[:-1]
+    by_block[:-2][filled] = np.add.reduceat(index.block_max[term], spans[:-1][filled], axis=0)
+    bound = by_block[start_tile]
+    for k in (1, 2):
+        bound += np.where((start_tile + k < end_tile)[:, None], by_block[start_tile + k], np.float32(0))
+    some = bound.max(axis=1) >= threshold - 1e-4
     best: dict[tuple[int, int], tuple] = {}
-    for w in np.flatnonzero((window >= threshold - 1e-6) & (place <= last)).tolist():
+    for w, end in zip(start_tile[some].tolist(), end_tile[some].tolist(), strict=True):
         text = int(own[w])
-        end = min(w + 3, int(tile_first[text + 1]))
         terms = np.unique(term[spans[w] : spans[end]])
-        if float(index.block_max[terms].sum(axis=0).max()) < threshold - 1e-6:
+        found = search(index, terms, threshold)
+        if not found:
             continue
         start = int(first[text]) + (w - int(tile_first[text])) * TILE_WORDS
-        for chunk, score in search(index, terms, threshold):
+        for chunk, score in found:
             item = int(index.chunk_item[chunk])
             before = best.get((text, item))
             if before and min(before[3], before[4]) >= 1.0:
