@@ -35,37 +35,43 @@ _PHRASE = re.compile("|".join(map(re.escape, PHRASES)))
 _SYMBOLS = "#*$%&|<>"
 
 
-def line_fails(line: str) -> str | None:
-    """The family of rules that a line fails, or None.  ``line`` has at least one word."""
-    words = line.split()
+_LOWER = re.compile("[a-z]")
+_FINISHED = re.compile(f"[{re.escape(''.join(SENTENCE_MARKS))}][ \\t\\v\\f\\r]*$")
+
+
+def line_fails(line: str, words: list[bytes]) -> str | None:
+    """The family of rules that a line fails, or None.  ``words`` are the line's, at least one."""
     n = len(words)
     if n >= 4 and sum(map(line.count, SEPARATORS)) * 3 >= n:
         return "navigation"
     if _PHRASE.search(line.lower()):
         return "boilerplate"
-    if 4 * sum(map(line.count, _SYMBOLS)) > n and sum(map(line.count, _SYMBOLS)) >= 3:
+    symbols = sum(map(line.count, _SYMBOLS))
+    if symbols >= 3 and 4 * symbols > n:
         return "punctuation"
     if n >= 8:
-        if 3 * line.count("!") > n and line.upper() == line:
+        if 3 * line.count("!") > n and not _LOWER.search(line):
             return "punctuation"
-        if 2 * Counter(words).most_common(1)[0][1] > n:
+        if 2 * max(Counter(words).values()) > n:
             return "punctuation"
-        if n >= 40 and not line.rstrip().endswith(SENTENCE_MARKS) and not any(m in line for m in (". ", "! ", "? ", ", ")):
+        if n >= 40 and not _FINISHED.search(line) and not any(m in line for m in (". ", "! ", "? ", ", ")):
             return "punctuation"
     return None
 
 
-def clean(text: str) -> tuple[str, Counter]:
-    """The lines that pass (blank ones too), and how many fail by family."""
+def clean(text: str) -> tuple[str, int, Counter]:
+    """The lines that pass (blank ones too), the words in them, and how many lines fail by family."""
     failed: Counter = Counter()
-    kept = []
+    kept, n_kept = [], 0
     for line in text.split("\n"):
-        family = line_fails(line) if line.strip() else None
+        words = line.encode("utf-8", "surrogatepass").split()
+        family = line_fails(line, words) if words else None
         if family:
             failed[family] += 1
         else:
             kept.append(line)
-    return "\n".join(kept), failed
+            n_kept += len(words)
+    return "\n".join(kept), n_kept, failed
 
 
 def counts(text: str) -> tuple[int, int, int, int, int]:
@@ -96,8 +102,7 @@ def quality_rules(docs: DataFrame, min_kept: float = MIN_KEPT) -> DataFrame:
     def judge(text: str) -> tuple:
         base = counts(text)
         base_failed = base[0] < 50 or 100 * base[4] > 50 * base[0]
-        left, failed = clean(text)
-        n_left = len(left.encode("utf-8", "surrogatepass").split())
+        left, n_left, failed = clean(text)
         kept = not base_failed and n_left >= min_kept * base[0]
         return (*base, base_failed, kept, failed["navigation"], failed["boilerplate"], failed["punctuation"], left)
 
@@ -108,3 +113,54 @@ def quality_rules(docs: DataFrame, min_kept: float = MIN_KEPT) -> DataFrame:
 
     schema = ", ".join(["doc_id " + kind, *(f"{n} {'long' if t == pa.int64() else 'boolean' if t == pa.bool_() else 'string'}" for n, t in zip(names, types, strict=True))])
     return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def _sql_text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_BLANKS = r"\x20\x09-\x0D"
+#: The query's rows in DuckDB's SQL.
+ORACLE = rf"""
+with docs as (
+  select row_number() over () as nth, doc_id, coalesce(text, '') as t from documents
+), words as (
+  select nth, doc_id, t, regexp_extract_all(t, '[^{_BLANKS}]+') as w from docs
+), placed as (
+  select nth, unnest(w) as word, generate_subscripts(w, 1) as k from words
+), windows as (
+  select nth, k, word, lead(word, 1) over x as b, lead(word, 2) over x as c from placed window x as (partition by nth order by k)
+), seen as (
+  select nth, k, c is not null and count(*) over (partition by nth, word, b, c) > 1 as again from windows
+), covered as (
+  select nth, again or coalesce(lag(again, 1) over x, false) or coalesce(lag(again, 2) over x, false) as hit from seen window x as (partition by nth order by k)
+), repeats as (
+  select nth, count(*) filter (hit) as n_repeat_words from covered group by nth
+), lines as (
+  select nth, unnest(string_split(t, chr(10))) as line from docs
+), split as (
+  select nth, line, regexp_extract_all(line, '[^{_BLANKS}]+') as w, length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) as symbols from lines
+), judged as (
+  select nth, line, len(w) as n, case
+    when len(w) = 0 then null
+    when len(w) >= 4 and length(regexp_replace(line, '[^{"".join(SEPARATORS)}]', '', 'g')) * 3 >= len(w) then 'navigation'
+    when {" or ".join(f"contains(lower(line), {_sql_text(p)})" for p in PHRASES)} then 'boilerplate'
+    when symbols >= 3 and 4 * symbols > len(w) then 'punctuation'
+    when len(w) >= 8 and 3 * length(regexp_replace(line, '[^!]', '', 'g')) > len(w) and not regexp_matches(line, '[a-z]') then 'punctuation'
+    when len(w) >= 8 and 2 * len(list_filter(w, lambda x: x = list_mode(w))) > len(w) then 'punctuation'
+    when len(w) >= 40 and not regexp_matches(line, '[{re.escape("".join(SENTENCE_MARKS)).replace("'", "''")}][{_BLANKS}]*$') and not regexp_matches(line, '[.!?,] ') then 'punctuation'
+  end as family from split
+), by_line as (
+  select nth, count(*) filter (n > 0) - count(distinct case when n > 0 then line end) as n_dup_lines, sum(case when family is null then n else 0 end) as n_kept,
+    count(*) filter (family = 'navigation') as n_navigation_lines, count(*) filter (family = 'boilerplate') as n_boilerplate_lines, count(*) filter (family = 'punctuation') as n_punctuation_lines
+  from judged group by nth
+), base as (
+  select *, len(w)::bigint as n_words, list_sum(list_transform(w, lambda x: length(x)))::bigint as chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(n_repeat_words, 0) as again
+  from words left join repeats using (nth) join by_line using (nth)
+)
+select doc_id, n_words, coalesce(chars, 0) as word_chars, n_symbols, n_dup_lines, again as n_repeat_words,
+  n_words < 50 or 100 * again > 50 * n_words as base_failed,
+  not (n_words < 50 or 100 * again > 50 * n_words) and n_kept >= {MIN_KEPT} * n_words as kept,
+  n_navigation_lines, n_boilerplate_lines, n_punctuation_lines
+from base
+"""
