@@ -17,7 +17,7 @@ from ..functions.sequences import fields
 from ..language.nodes import Array, Binary, Call, Group, Lambda, Lit, Node, Param, Path, Projection, Quantified, Select, default_name, fields_of, uses_source
 from ..operators.include import include
 from .compiler import Compiler, Context, root_of
-from .values import AnalysisError, Val, as_one, is_document, literal, simple
+from .values import AnalysisError, Val, as_one, is_document, literal, simple, variant_key
 
 KEY = "__key"
 _RELATIONS = ("=", "!=", ">", ">=", "<", "<=", "LIKE", "BETWEEN", "IN")
@@ -87,6 +87,8 @@ class Planner:
         v = as_one(Compiler(self.context(df))(node))
         if self.collation and isinstance(v.type, T.StringType):
             v = v.but(col=F.collate(v.col, self.collation))
+        if isinstance(v.type, T.VariantType):
+            v = v.but(col=variant_key(v.col))
         return v
 
     def select(self, q: Select) -> DataFrame:
@@ -168,6 +170,8 @@ class Planner:
     def grouped(self, df: DataFrame, key: list[str], q: Select) -> DataFrame:
         df = self.where(df, q.where)
         by = as_one(Compiler(self.context(df))(q.group_by))
+        if isinstance(by.type, T.VariantType):  # a variant groups by its JSON text
+            by = by.but(col=F.to_json(by.col), type=T.StringType())
         order = self.order_of(df, key)
         rows = self.rows(df, order)
         keyed = df.withColumn(KEY, by.col)

@@ -247,10 +247,24 @@ def text(v: Val) -> Column:
     return F.coalesce(s, F.lit(""))
 
 
+def variant_key(col: Column) -> Column:
+    """A value of a variant in the total order: its kind's rank, its number, its text."""
+    kind = F.schema_of_variant(col)
+    number = F.try_variant_get(col, "$", "double")
+    plain = F.try_variant_get(col, "$", "string")
+    ranks = F.lit(7)
+    for prefix, n in (("VOID", 1), ("BIGINT", 2), ("INT", 2), ("SMALLINT", 2), ("TINYINT", 2), ("DOUBLE", 2), ("FLOAT", 2), ("DECIMAL", 2), ("STRING", 6), ("OBJECT", 7), ("ARRAY", 8), ("BINARY", 9), ("BOOLEAN", 12), ("TIMESTAMP", 13), ("DATE", 13)):
+        ranks = F.when(kind.startswith(prefix), n).otherwise(ranks)
+    rank_ = F.when(col.isNull(), 1).otherwise(ranks)
+    return F.struct(rank_.alias("rank"), F.when(rank_ == 2, number).alias("number"), F.when(rank_ > 2, F.coalesce(plain, F.to_json(col))).alias("text"))
+
+
 # comparison
 
 def _pair(a: Val, b: Val, collation: str | None) -> tuple[Column, Column]:
     x, y = a.col, b.col
+    if isinstance(a.type, T.VariantType) and isinstance(b.type, T.VariantType):
+        return variant_key(x), variant_key(y)
     if collation and is_string(a.type) and is_string(b.type):
         return F.collate(x, collation), F.collate(y, collation)
     if is_number(a.type) and is_number(b.type) and simple(a.type) != simple(b.type):
@@ -275,7 +289,7 @@ def equal(a: Val, b: Val, collation: str | None = None, for_filter: bool = False
         both = a.col.isNull() & b.col.isNull()
         return boolean(both, a, b) if a.nullable and b.nullable else literal(False)
     x, y = _pair(a, b, collation)
-    if isinstance(a.type, (T.StructType, T.MapType, T.VariantType)) and a.type != b.type:
+    if isinstance(a.type, (T.StructType, T.MapType)) and a.type != b.type:
         x, y = F.to_json(x), F.to_json(y)
     if for_filter and (not a.nullable or not b.nullable or b.constant not in (..., None) or a.constant not in (..., None)):
         return boolean(x == y, a, b)  # null is never equal to what isn't null, and a filter drops both

@@ -382,3 +382,5 @@ def _scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 statement("collation_lcase_eq", "customer", "SELECT c_custkey FROM customer WHERE c_mktsegment = 'building' AND c_name LIKE 'CUSTOMER%'", "select c_custkey from customer where lower(c_mktsegment) = 'building' and lower(c_name) like 'customer%'", collation="UTF8_LCASE")
+statement("variant_order", "events", "SELECT event_id FROM events ORDER BY JSON(props).k DESC LIMIT 12", "select event_id from events order by cast(json_extract(props, '$.k') as double) desc nulls last, event_id limit 12")
+statement("variant_group", "events", "SELECT @key AS k, COUNT(*) AS n FROM events GROUP BY JSON(props).k", "select cast(json_extract(props, '$.k') as varchar) as k, count(*) as n from events group by 1")
