@@ -41,9 +41,9 @@ class _Resolver:
     def known(self) -> list[str]:
         return self.db.catalog.names()
 
-    def targets(self, df: DataFrame, find: object) -> list[str]:
-        """Collections that references may name: of one declared target no job has to ask."""
-        return [self.db.reference_target] if self.db.reference_target else find(df)
+    def references(self, source: str | None, path: str) -> list[str] | None:
+        """Collections that the references at a path name, where that was declared."""
+        return self.db.catalog.references.get(((source or "").lower(), path.lower()))
 
 
 class Database:
@@ -59,14 +59,19 @@ class Database:
         if collation:
             self.catalog.pragmas["COLLATION"] = collation
         self.read_only = read_only
-        self.reference_target: str | None = None
 
     # sources
-    def register(self, name: str, df: DataFrame, key: list[str] | str | None = None) -> Database:
-        """Name a DataFrame; ``key`` gives its order and is what references point at."""
+    def register(self, name: str, df: DataFrame, key: list[str] | str | None = None, references: dict[str, str | list[str]] | None = None) -> Database:
+        """Name a DataFrame; ``key`` gives its order and is what references point at, ``references`` the targets of its paths."""
         self.catalog.add_view(name, df, key)
+        for path, targets in (references or {}).items():
+            self.declare(name, path, targets)
         return self
 
+    def declare(self, collection: str, path: str, targets: str | list[str]) -> None:
+        """The collections that references at a path of a collection name, so that INCLUDE needn't ask the data."""
+        self.catalog.references[collection.lower(), path.lower()] = [targets] if isinstance(targets, str) else list(targets)
+
     def collection(self, name: str) -> Collection:
         return Collection(self, name)
 

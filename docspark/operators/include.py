@@ -30,14 +30,14 @@ def include(planner: object, df: DataFrame, path: Node, key: list[str]) -> DataF
     top = _field(df.schema, names[0])
     if top is None:
         return df
-    return _at(planner, df, top, names[1:])
+    return _at(planner, df, top, names[1:], planner.resolve.references(planner.source, ".".join(names)))
 
 
-def _at(planner: object, df: DataFrame, top: T.StructField, rest: list[str]) -> DataFrame:
+def _at(planner: object, df: DataFrame, top: T.StructField, rest: list[str], targets: list[str] | None) -> DataFrame:
     column = F.col(f"`{top.name}`")
     t: T.DataType = top.dataType
     if isinstance(t, T.ArrayType):
-        return _each(planner, df, top.name, rest)
+        return _each(planner, df, top.name, rest, targets)
     steps, at = [], t
     for name in rest:
         f = _field(at, name) if isinstance(at, T.StructType) else None
@@ -50,7 +50,7 @@ def _at(planner: object, df: DataFrame, top: T.StructField, rest: list[str]) ->
     ref = column
     for s in steps:
         ref = ref.getField(s)
-    joined, found = _lookup(planner, df.withColumn(_REF, ref), at)
+    joined, found = _lookup(planner, df.withColumn(_REF, ref), at, targets)
     return joined.withColumn(top.name, _replace(column, t, steps, found)).drop(_REF, *[c for c in joined.columns if c.startswith(_RIGHT)])
 
 
@@ -69,13 +69,16 @@ def _targets(df: DataFrame) -> list[str]:
     return sorted(r["r"] for r in rows)
 
 
-def _lookup(planner: object, df: DataFrame, t: T.StructType) -> tuple[DataFrame, Column]:
-    """``df`` joined with all collections that _REF names, and the reference or what it points at."""
+def _lookup(planner: object, df: DataFrame, t: T.StructType, targets: list[str] | None) -> tuple[DataFrame, Column]:
+    """``df`` joined with all collections that _REF names, and the reference or what it points at.
+
+    Declared targets spare the job that asks the references for their collections.
+    """
     ref = F.col(_REF)
     id_, name = ref.getField("$id"), ref.getField("$ref")
     parts: list[tuple[Column, list[tuple[str, Column]]]] = []
     unknown = F.lit(True)
-    for k, target in enumerate(planner.resolve.targets(df, _targets) if hasattr(planner.resolve, "targets") else _targets(df)):
+    for k, target in enumerate(_targets(df) if targets is None else targets):
         try:
             right, key = planner.resolve(target, None)
         except KeyError:
@@ -88,7 +91,7 @@ def _lookup(planner: object, df: DataFrame, t: T.StructType) -> tuple[DataFrame,
         found = F.col(held)
         parts.append((found, [(c.name, found.getField(c.name)) for c in right.schema[held].dataType.fields if c.name != "_id" and c.name != own]))
         unknown = unknown & found.isNull()
-    known = name.isin([*planner.resolve.known()]) if hasattr(planner.resolve, "known") else F.lit(True)
+    known = name.isin([*planner.resolve.known()])
     fields: dict[str, Column] = {"$id": id_}
     fields["$ref"] = F.when(unknown, name)
     for _, columns in parts:
@@ -99,11 +102,11 @@ def _lookup(planner: object, df: DataFrame, t: T.StructType) -> tuple[DataFrame,
     return df, F.when(ref.isNotNull(), document)
 
 
-def _each(planner: object, df: DataFrame, name: str, rest: list[str]) -> DataFrame:
+def _each(planner: object, df: DataFrame, name: str, rest: list[str], targets: list[str] | None) -> DataFrame:
     """References in an array: one row for each, joined, and gathered again in their order."""
     others = [c for c in df.columns if c != name]
     items = df.withColumn(_ROW, F.monotonically_increasing_id()).select("*", F.posexplode_outer(F.col(f"`{name}`")).alias(_AT, "__item"))
-    inner = _at(planner, items, items.schema["__item"], rest)
+    inner = _at(planner, items, items.schema["__item"], rest, targets)
     gathered = F.sort_array(F.collect_list(F.when(F.col(_AT).isNotNull(), F.struct(_AT, F.to_json("__item").alias("j"), F.col("__item")))))
     one = inner.groupBy(_ROW).agg(*[F.any_value(F.col(f"`{c}`")).alias(c) for c in others], F.any_value(F.col(f"`{name}`")).alias("__was"), gathered.alias("__all"))
     value = F.when(F.col("__was").isNotNull(), F.transform("__all", lambda s: s["__item"]))

@@ -62,6 +62,7 @@ class Planner:
         self.resolve = resolve  # (name, options) -> (DataFrame, key columns)
         self.params = {str(k).lower(): v if isinstance(v, Val) else literal(v) for k, v in (params or {}).items()}
         self.collation = collation
+        self.source: str | None = None
 
     def context(self, df: DataFrame, **more: object) -> Context:
         return Context(root=root_of(df), params=self.params, collation=self.collation, **more)
@@ -92,6 +93,7 @@ class Planner:
         return v
 
     def select(self, q: Select) -> DataFrame:
+        self.source = q.source
         df, key = self.resolve(q.source, q.options)
         if q.group_by is not None:
             if q.order_by is not None or q.includes:

@@ -220,13 +220,12 @@ statement("limit_offset", "customer", "SELECT c_custkey FROM customer LIMIT 20 O
 
 # references
 def _with_reference(db: Database, view: str, source: str, text: str) -> Database:
-    return db.register(view, db.execute(text), KEYS[source])
+    return db.register(view, db.execute(text), KEYS[source], references={"customer": "customer"})
 
 
 @query("inc_customer", "select o_orderkey, c_name, c_mktsegment, null::boolean as missing from orders join customer on o_custkey = c_custkey")
 def _inc_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     db = database(spark, sf_dir, ("orders", "customer"))
-    db.reference_target = "customer"
     _with_reference(db, "o", "orders", "SELECT EXTEND($, { customer: { $id: o_custkey, $ref: 'customer' } }) FROM orders")
     return db.execute("SELECT o_orderkey, customer.c_name AS c_name, customer.c_mktsegment AS c_mktsegment, customer.['$missing'] AS missing FROM o INCLUDE customer")
 
@@ -249,7 +248,6 @@ def _inc_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("inc_filter_before", "select o_orderkey from orders join customer on o_custkey = c_custkey where c_acctbal > 9000")
 def _inc_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     db = database(spark, sf_dir, ("orders", "customer"))
-    db.reference_target = "customer"
     _with_reference(db, "o", "orders", "SELECT { o_orderkey: o_orderkey, customer: { $id: o_custkey, $ref: 'customer' } } FROM orders")
     return db.execute("SELECT o_orderkey FROM o INCLUDE customer WHERE customer.c_acctbal > 9000")
 
@@ -257,8 +255,7 @@ def _inc_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("inc_array_parts", "select l_orderkey, count(*) as n, round_even(sum(p_retailprice), 2) as price, count(distinct p_brand) as brands from lineitem join part on l_partkey = p_partkey where l_orderkey < 2000 group by 1")
 def _inc_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     db = database(spark, sf_dir, ("lineitem", "part"))
-    db.reference_target = "part"
-    db.register("o", db.execute("SELECT { l_orderkey: @key, parts: ARRAY(MAP(* => { $id: @.l_partkey, $ref: 'part' })) } FROM lineitem WHERE l_orderkey < 2000 GROUP BY l_orderkey"), "l_orderkey")
+    db.register("o", db.execute("SELECT { l_orderkey: @key, parts: ARRAY(MAP(* => { $id: @.l_partkey, $ref: 'part' })) } FROM lineitem WHERE l_orderkey < 2000 GROUP BY l_orderkey"), "l_orderkey", references={"parts": "part"})
     return db.execute("SELECT l_orderkey, COUNT(parts[*]) AS n, ROUND(SUM(parts[*].p_retailprice), 2) AS price, COUNT(DISTINCT(parts[*].p_brand)) AS brands FROM o INCLUDE parts[*]")
 
 

@@ -31,6 +31,7 @@ class Catalog:
         self.spark = spark
         self.path = path.rstrip("/") if path else None
         self.views: dict[str, tuple[str, DataFrame, list[str]]] = {}
+        self.references: dict[tuple[str, str], list[str]] = {}  # (collection, path) -> collections that references there name
         self.entries: dict[str, Entry] = {}
         self.pragmas: dict[str, object] = {"USER_VERSION": 0, "COLLATION": "UTF8_BINARY", "TIMEOUT": 60, "LIMIT_SIZE": (1 << 63) - 1, "UTC_DATE": True, "CHECKPOINT": 1000}
         self.saved: tuple | None = None  # the state before BEGIN
