@@ -216,11 +216,12 @@ class Compiler:
         order = inner.one(node.order) if node.order is not None else literal(1)
         c = order.constant
         descending = not (c == 1 or (isinstance(c, str) and c.lower() == "asc"))
-        keyed = F.transform(v.col, lambda x, i: F.struct(as_one(body(Val(x, v.type))).col.alias("k"), (-i if descending else i).alias("i"), x.alias("v")))
-        if is_null(as_one(body(Val(F.lit(None).cast(v.type), v.type))).type):
+        key_of = lambda x: as_one(body(Val(x, v.type)))
+        if is_null(key_of(F.lit(None).cast(v.type)).type):
             return v
-        key_struct = F.transform(keyed, lambda s: F.struct(s["k"].alias("k"), s["i"].alias("i"), s["v"].alias("v")))
-        return v.but(col=F.transform(F.sort_array(key_struct, asc=not descending), lambda s: s["v"]), constant=...)
+        # the place of an element keeps equal keys in their order
+        keyed = F.transform(v.col, lambda x, i: F.struct(key_of(x).col.alias("k"), (-i if descending else i).alias("i"), x.alias("v")))
+        return v.but(col=F.transform(F.sort_array(keyed, asc=not descending), lambda s: s["v"]), constant=...)
 
     # calls
     def do_call(self, node: Call) -> Val:
