@@ -11,12 +11,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from docspark.llm import decontamination, language_id, ngram_join, packing, quality_classifier
-from docspark.llm.common import table
+from docspark.llm.common import find_package, table
 from docspark.llm.queries import tokenizer_path
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised with enough certainty."""
+    find_package(spark)
     return language_id.accepted(docs, language_id.fit(docs))
 
 
@@ -27,6 +28,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents."""
+    find_package(spark)
     return ngram_join.one_of_each(docs, ngram_join.ngram_join(docs))
 
 
@@ -37,6 +39,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of all documents' pieces in training sequences."""
+    find_package(spark)
     return packing.packed_documents(docs, tokenizer_path())
 
 

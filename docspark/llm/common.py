@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,13 @@ CHUNK_CHARS = 1_000_000
 LETTER, ALNUM, UPPER, DIGIT, BLANK, SYMBOL, STOP, LOUD = (1 << k for k in range(8))
 
 
+def find_package(spark: SparkSession) -> None:
+    """Let Python workers on the driver's machine find this package where the driver did."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    find_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
