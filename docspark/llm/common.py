@@ -65,7 +65,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, folds: int,
         .groupBy("doc_id")
         .agg(F.max("target").alias("target"))
     )
-    parts = [known.filter(F.col("target") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
+    # the smallest hashes lie under a bound that follows from the counts: what is sorted stays small for any input
+    counts = {r["target"]: r["count"] for r in known.groupBy("target").count().collect()}
+    unit = F.shiftrightunsigned(F.xxhash64("doc_id"), 1) / float(1 << 63)
+    parts = []
+    for k in (0, 1):
+        part = known.filter((F.col("target") == k) & (unit <= 2.0 * per_class / max(1, counts.get(k, 0))))
+        parts.append(part.orderBy(unit, "doc_id").limit(per_class))
     chosen = parts[0].unionByName(parts[1])
     # at most 2 * per_class rows of 12 bytes: small for any input
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")

@@ -230,3 +230,16 @@ def test_pipeline(spark, data):
         assert 0 < out.count() <= now.count()
         now = out.cache()
     assert corpus_pipeline.run(spark, data).filter("piece = 0").count() == now.count()
+
+
+def test_labelled_sample_is_bounded_and_stable(spark):
+    from docspark.llm.common import labelled_sample
+
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 7 == 0).cast("int").alias("quality"))
+    sample = lambda d, n: {(r["doc_id"], r["target"]) for r in labelled_sample(d, labels.repartition(5), "quality", 5, {1, 2, 3, 4}, n).collect()}
+    small, large = sample(docs, 100), sample(docs.repartition(3), 300)
+    assert sum(t for _, t in small) == 100 and len(small) == 200 and len(large) == 600 and small < large
+    assert all(zlib.crc32(str(i).encode()) % 5 for i, _ in large)
+    every = sample(docs, 100_000)
+    assert len(every) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(4000))
