@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that one vectorised step works on; bounds the memory of a Python worker.
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 400_000
 
 LETTER, ALNUM, UPPER, DIGIT, BLANK, SYMBOL, STOP, LOUD = (1 << k for k in range(8))
 

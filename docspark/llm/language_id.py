@@ -40,34 +40,31 @@ class LanguageModel:
     least: float = 0.0  # scores under this are rejected
 
 
-def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of every subword of all texts, and the first of each text (one past the last in the end)."""
+def subwords(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order the bucket of every subword of all texts, and the first of each text (one past the last in the end)."""
     points, at = code_points([t.lower() for t in texts])
     letter = (classes_of(points) & LETTER) > 0
-    stream = np.where(letter, points, 0x20).astype(np.uint64)
-    # a blank before the first character, so that its word has one as well
-    stream, letter = np.concatenate(([np.uint64(0x20)], stream)), np.concatenate(([False], letter))
-    buckets, owners = [], []
+    # a blank at either end, as there is between texts
+    stream = np.full(len(points) + 2, 0x20, np.uint64)
+    np.copyto(stream[1:-1], points, where=letter)
+    letter = np.concatenate(([False], letter, [False]))
     for n in ORDERS:
-        m = len(stream) - n + 1
-        if m <= 0:
-            continue
-        good = letter[: m] | letter[n - 1 :]
+        m = max(0, len(stream) - n + 1)
+        good = letter[:m] | letter[n - 1 :][:m]
         for k in range(1, n - 1):  # only the ends may be blanks
             good &= letter[k : k + m]
-        if n == 2:
-            good &= letter[: m] | letter[1 : 1 + m]
         place = np.flatnonzero(good)
         h = np.full(len(place), n, np.uint64)
         for k in range(n):
-            h = h * np.uint64(0x100000001B3) + stream[place + k]
-        buckets.append((mix(h) & np.uint64(BUCKETS - 1)).astype(np.int64))
-        owners.append(np.searchsorted(at[1:-1], np.maximum(place, 0), "right"))
-    if not buckets:
-        return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
-    owner = np.concatenate(owners)
-    order = np.argsort(owner, kind="stable")
-    return np.concatenate(buckets)[order], np.searchsorted(owner[order], np.arange(len(texts) + 1))
+            h *= np.uint64(0x100000001B3)
+            h += stream[place + k]
+        yield (mix(h) & np.uint64(BUCKETS - 1)).astype(np.int32), np.searchsorted(place, np.concatenate(([0], at[1:-1], [len(stream)])))
+
+
+def bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The distinct buckets of each text, and how often it has each."""
+    found = list(subwords(texts))
+    return [np.unique(np.concatenate([ids[first[k] : first[k + 1]] for ids, first in found]), return_counts=True) for k in range(len(texts))]
 
 
 def _sum_by_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -124,11 +121,13 @@ def train(languages: list[str], bags: list[tuple[np.ndarray, np.ndarray]], wante
 
 def predict(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, score and whether it is rejected, for each text."""
-    ids, first = subwords([t or "" for t in texts])
-    count = np.diff(first)
     if not model.languages or not len(texts):
         return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-    mean = _sum_by_text(model.table[ids], first) / np.maximum(count, 1)[:, None]
+    total, count = np.zeros((len(texts), len(model.languages))), np.zeros(len(texts), np.int64)
+    for ids, first in subwords([t or "" for t in texts]):
+        total += _sum_by_text(model.table[ids], first)
+        count += np.diff(first)
+    mean = total / np.maximum(count, 1)[:, None]
     p = _softmax((mean + model.bias) / model.temperature)
     best, score = p.argmax(axis=1), p.max(axis=1)
     # every letter is part of a subword of two
@@ -152,12 +151,9 @@ def fit(docs: DataFrame, folds: int = 3, rest: frozenset[int] = frozenset({0, 2}
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches):
-            ids, first = subwords(texts)
-            blobs, lens = [], []
-            for a, b in zip(first, first[1:], strict=False):
-                u, c = np.unique(ids[a:b], return_counts=True)
-                blobs.append(u.astype("<u4").tobytes() + c.astype("<u4").tobytes())
-                lens.append(len(u))
+            found = bags(texts)
+            blobs = [u.astype("<u4").tobytes() + c.astype("<u4").tobytes() for u, c in found]
+            lens = [len(u) for u, _ in found]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), batch.column("lang"), pa.array(blobs, pa.binary()), pa.array(lens, pa.int64())], ["doc_id", "lang", "bag", "n"])
 
     rows = [r for r in sample.mapInArrow(bag, "doc_id string, lang string, bag binary, n long").collect() if r["n"]]
@@ -165,8 +161,8 @@ def fit(docs: DataFrame, folds: int = 3, rest: frozenset[int] = frozenset({0, 2}
     if not rows:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     code = {c: k for k, c in enumerate(languages)}
-    bags = [(np.frombuffer(r["bag"], "<u4", r["n"]).astype(np.int64), np.frombuffer(r["bag"], "<u4", r["n"], 4 * r["n"]).astype(np.float64)) for r in rows]
-    return train(languages, bags, np.array([code[r["lang"]] for r in rows]))
+    learned = [(np.frombuffer(r["bag"], "<u4", r["n"]).astype(np.int64), np.frombuffer(r["bag"], "<u4", r["n"], 4 * r["n"]).astype(np.float64)) for r in rows]
+    return train(languages, learned, np.array([code[r["lang"]] for r in rows]))
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:

@@ -179,8 +179,9 @@ def test_language_model_learns_and_rejects():
         texts.append(" ".join("".join(rng.choice(alphabets[c]) for _ in range(5)) for _ in range(20)))
         langs.append(c)
     names = sorted(alphabets)
-    ids, first = language_id.subwords(texts)
-    bags = [tuple(x.astype(float) if n else x for n, x in enumerate(np.unique(ids[a:b], return_counts=True))) for a, b in zip(first, first[1:], strict=False)]
+    bags = [(u, c.astype(float)) for u, c in language_id.bags(texts)]
+    apart = [language_id.bags([t])[0] for t in texts[:20]]
+    assert all((a[0] == b[0]).all() and (a[1] == b[1]).all() for a, b in zip(bags, apart, strict=False))
     model = language_id.train(names, bags[:200], np.array([names.index(c) for c in langs[:200]]))
     got, score, rejected = language_id.predict(model, texts[200:] + ["", None, "12 34!", "a"])
     assert got[:100] == langs[200:] and got[100:103] == ["und"] * 3 and rejected[100:103].all() and not rejected[:100].any() and got[103] != "und"
