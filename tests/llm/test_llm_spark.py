@@ -220,16 +220,56 @@ def test_classifier_queries(spark, name, mod, fold):
     assert right / total > 0.93
 
 
-def test_pipeline(spark, data):
+def groups_of(text):
+    """The least id of each document's group, by comparing all pairs of word 5-grams."""
+    words = {i: re.findall(r"[^\W_]+", t.lower()) for i, t in text.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else {t} for (i, w), t in zip(words.items(), text.values(), strict=True)}
+    low = {i: i for i in sets}
+
+    def root(i):
+        while low[i] != i:
+            i = low[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            x, y = root(a), root(b)
+            low[max(x, y)] = min(x, y)
+    return {i: root(i) for i in sets}
+
+
+def test_pipeline_against_plain_stages(spark, data):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
     docs = spark.read.parquet(f"{data}/documents.parquet")
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    plain = lambda t: " " + " ".join(re.findall(r"[^\W_]+", t.lower())) + " "
+    items = [plain(r["text"]) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
     now = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, now, data)
-        assert out.columns == docs.columns, name
-        assert 0 < out.count() <= now.count()
-        now = out.cache()
-    assert corpus_pipeline.run(spark, data).filter("piece = 0").count() == now.count()
+        text = {r["doc_id"]: r["text"] for r in now.collect()}
+        if name == "language_id":
+            model = language_id.fit(now)
+            want = {i for i, t in text.items() if not language_id.predict(model, [t])[2][0]}
+        elif name == "quality_classifier":
+            model = quality_classifier.fit(now, labels)
+            want = {i for i, t in text.items() if quality_classifier.scores_of(model, [t])[0] >= 0.3}
+        elif name == "ngram_join":
+            want = {i for i, g in groups_of(text).items() if i == g}
+        else:
+            want = {i for i, t in text.items() if not any(x in plain(t) for x in items)}
+        out = stage(spark, now, data).cache()
+        assert out.columns == docs.columns
+        assert {r["doc_id"] for r in out.collect()} == want, name
+        now = out
+    tokenizer = Tokenizer.from_file(public.path("word_bpe_49k.json"))
+    sizes = {r["doc_id"]: len(tokenizer.encode(r["text"], add_special_tokens=False).ids) + 1 for r in now.collect()}
+    packed: dict = {}
+    for r in corpus_pipeline.run(spark, data).collect():
+        packed[r["doc_id"]] = packed.get(r["doc_id"], 0) + r["length"]
+    assert packed == sizes
 
 
 def test_labelled_sample_is_bounded_and_stable(spark):
