@@ -4,7 +4,7 @@ A node of the tree splits along its widest metadata dimension, widths taken as s
 root's, at a weighted median: the bytes of the documents below it are to the bytes of all as the
 leaves on that side are to all leaves.  All nodes of a level split together.  Their medians are
 found exactly by counting bytes in equal ranges of a 63-bit key and narrowing each node to the
-range that holds its median, until the bytes still undecided are within ``tolerance`` of a leaf's;
+range that holds its median, until what is still undecided is one document or ``tolerance`` of a leaf;
 each round is one aggregation whose result has at most nodes x BINS rows.
 
 The key is the dimension's value, then a hash of the text, then one of the id, so that documents
@@ -120,16 +120,16 @@ def grow(rows: DataFrame, n_shards: int, bins: int = BINS, tolerance: float = TO
             split = rows.filter(F.col("node").isin(sorted(pending))).withColumn("dim", _lookup(dims, F.col("node")))
             inside = split.select("node", "size", _key(F.col("dim")).alias("key")).filter((F.col("key") >= _lookup(low, F.col("node"))) & (F.col("key") < _lookup(high, F.col("node"))))
             bin_ = F.expr("(key - lo) div step")
-            counted = inside.select("node", "size", "key", _lookup(low, F.col("node")).alias("lo"), _lookup(step, F.col("node")).alias("step")).groupBy("node", bin_.alias("bin")).agg(F.sum("size").alias("size"))
-            by_node: dict[int, list[tuple[int, int]]] = {}
+            counted = inside.select("node", "size", "key", _lookup(low, F.col("node")).alias("lo"), _lookup(step, F.col("node")).alias("step")).groupBy("node", bin_.alias("bin")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+            by_node: dict[int, list[tuple[int, int, int]]] = {}
             for r in counted.collect():
-                by_node.setdefault(r["node"], []).append((r["bin"], r["size"]))
+                by_node.setdefault(r["node"], []).append((r["bin"], r["size"], r["n"]))
             for i in sorted(pending):
                 at = before[i]
-                for bin_no, size in sorted(by_node.get(i, [])):
+                for bin_no, size, n in sorted(by_node.get(i, [])):
                     if at + size >= goal[i]:
                         left, right = low[i] + bin_no * step[i], low[i] + (bin_no + 1) * step[i]
-                        if step[i] == 1 or size <= tolerance * total[i] / leaves[i]:
+                        if n == 1 or step[i] == 1 or size <= tolerance * total[i] / leaves[i]:
                             thresholds[i] = left if goal[i] - at < at + size - goal[i] else right
                             pending.discard(i)
                         else:
