@@ -259,6 +259,13 @@ def _inc_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return db.execute("SELECT l_orderkey, COUNT(parts[*]) AS n, ROUND(SUM(parts[*].p_retailprice), 2) AS price, COUNT(DISTINCT(parts[*].p_brand)) AS brands FROM o INCLUDE parts[*]")
 
 
+@query("inc_array_parts_all", "select l_orderkey, count(*) as n, round_even(sum(p_retailprice), 2) as price, count(distinct p_brand) as brands from lineitem join part on l_partkey = p_partkey group by 1")
+def _inc_array_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = database(spark, sf_dir, ("lineitem", "part"))
+    db.register("o", db.execute("SELECT { l_orderkey: @key, parts: ARRAY(MAP(* => { $id: @.l_partkey, $ref: 'part' })) } FROM lineitem GROUP BY l_orderkey"), "l_orderkey", references={"parts": "part"})
+    return db.execute("SELECT l_orderkey, COUNT(parts[*]) AS n, ROUND(SUM(parts[*].p_retailprice), 2) AS price, COUNT(DISTINCT(parts[*].p_brand)) AS brands FROM o INCLUDE parts[*]")
+
+
 # sources and sinks
 statement("src_query", "nation", "SELECT n_name AS name FROM $query(\"SELECT n_name, n_regionkey FROM nation WHERE n_regionkey = 1\")", "select n_name as name from nation where n_regionkey = 1")
 statement("src_cols", "nation region", "SELECT name FROM $cols WHERE type = 'view'", "select unnest(['nation', 'region']) as name")
