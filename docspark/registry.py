@@ -93,9 +93,11 @@ statement("flt_any_constant_list", "customer", "SELECT c_custkey FROM customer W
 
 # arithmetic
 statement("arith_precedence", "lineitem", "SELECT l_orderkey, l_linenumber, l_quantity - 5 + l_linenumber AS a, l_quantity / 2 * 4 AS b, l_orderkey % 7 AS c FROM lineitem WHERE l_orderkey < 500", "select l_orderkey, l_linenumber, l_quantity - (5 + l_linenumber) as a, (l_quantity / 2) * 4 as b, l_orderkey % 7 as c from lineitem where l_orderkey < 500")
+statement("arith_precedence_all", "lineitem", "SELECT l_orderkey, l_linenumber, l_quantity - 5 + l_linenumber AS a, l_quantity / 2 * 4 AS b, l_orderkey % 7 AS c FROM lineitem", "select l_orderkey, l_linenumber, l_quantity - (5 + l_linenumber) as a, (l_quantity / 2) * 4 as b, l_orderkey % 7 as c from lineitem")
 statement("arith_wrap", "nation", "SELECT n_nationkey, 2147483647 + n_nationkey AS w FROM nation", "select n_nationkey, cast(case when n_nationkey = 0 then 2147483647 else -2147483649 + n_nationkey::bigint end as integer) as w from nation")
 statement("arith_zero", "nation", "SELECT n_nationkey, IS_NULL(n_nationkey % 0) AS m, 1 / n_nationkey > 5 AS inf FROM nation", "select n_nationkey, true as m, n_nationkey = 0 as inf from nation")
 statement("arith_date_ticks", "orders", "SELECT o_orderkey, o_orderdate + 864000000000 AS next FROM orders WHERE o_orderkey < 100", "select o_orderkey, o_orderdate + interval 1 day as next from orders where o_orderkey < 100")
+statement("arith_date_ticks_all", "orders", "SELECT o_orderkey, o_orderdate + 864000000000 AS next FROM orders", "select o_orderkey, o_orderdate + interval 1 day as next from orders")
 
 # string functions
 _FN = "documents"
