@@ -3,8 +3,8 @@
 A document's features are which words, and which beginnings of words of 4 to 6 characters, of a
 learned vocabulary it has.  The vocabulary holds those whose presence goes with the label far
 beyond chance in a bounded sample of labelled documents, and the identity terms.  For every sampled document that names an identity, a
-counterfactual twin is made by swapping each identity term for another one of its kind, and one
-by swapping it for a neutral noun; logistic regression then pays for the squared change of score
+counterfactual twin is made by swapping each identity term of its text for another one of its kind, and one
+by swapping it for a neutral noun, with the beginnings that belong to either; logistic regression then pays for the squared change of score
 between a document and its twins, so that neutral mentions of a group aren't taken for abuse.
 
 Null and empty texts score as texts without any known word.  Without labels of both classes
@@ -13,8 +13,10 @@ every score is 0.  Repeated rows get the same score.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -69,13 +71,12 @@ def _hash_of(words: list[str]) -> np.ndarray:
     return hash_runs(points, at[:-1], at[1:] - 1)
 
 
-def _swaps() -> tuple[np.ndarray, np.ndarray, np.uint64]:
-    """Hashes of the identity terms, sorted, what each is swapped for, and the neutral noun's."""
-    terms = [t for group in IDENTITIES for t in group]
-    other = [group[(k + 1) % len(group)] for group in IDENTITIES for k in range(len(group))]
-    a, b = _hash_of(terms), _hash_of(other)
-    order = np.argsort(a)
-    return a[order], b[order], _hash_of([NEUTRAL])[0]
+@lru_cache(maxsize=1)
+def _swaps() -> tuple[np.ndarray, dict[str, str], re.Pattern]:
+    """Hashes of the identity terms, sorted, what each is swapped for, and a pattern of them as whole words."""
+    other = {t: group[(k + 1) % len(group)] for group in IDENTITIES for k, t in enumerate(group)}
+    whole = "|".join(sorted(map(re.escape, other), key=len, reverse=True))
+    return np.sort(_hash_of(list(other))), other, re.compile(rf"(?<![^\W_])(?:{whole})(?![^\W_])")
 
 
 def bags_of(texts: list[str | None]) -> list[np.ndarray]:
@@ -86,12 +87,35 @@ def bags_of(texts: list[str | None]) -> list[np.ndarray]:
     return [np.unique(hashes[a:b]) for a, b in zip(first, first[1:], strict=False)]
 
 
+def twins_of(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+    """For each text that names an identity the bags of its two twins: counterparts in place of the terms, and the neutral noun."""
+    _, other, pattern = _swaps()
+    low = [(t or "").lower() for t in texts]
+    named = [k for k, t in enumerate(low) if pattern.search(t)]
+    bags = [bags_of([pattern.sub(put, low[k]) for k in named]) for put in (lambda m: other[m[0]], NEUTRAL)]
+    out: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(texts)
+    for k, *pair in zip(named, *bags, strict=True):
+        out[k] = tuple(pair)
+    return out
+
+
+@lru_cache(maxsize=1)
+def _term_features() -> dict[str, np.ndarray]:
+    """The features of each identity term and of the neutral noun, its own hash first."""
+    return {t: features([t])[0] for t in (*_swaps()[1], NEUTRAL)}
+
+
 def swapped(bag: np.ndarray, neutral: bool) -> np.ndarray:
-    """The bag with every identity term replaced by its counterpart, or by the neutral noun."""
-    terms, other, noun = _swaps()
-    at = np.minimum(np.searchsorted(terms, bag), len(terms) - 1)
-    hit = terms[at] == bag
-    return np.unique(np.where(hit, noun if neutral else other[at], bag))
+    """The bag with the features of every identity term replaced by those of its counterpart, or of the neutral noun.
+
+    For bags whose texts aren't at hand: a beginning that another word has too is replaced as well.
+    """
+    held = _term_features()
+    named = [t for t in _swaps()[1] if held[t][0] in bag]
+    if not named:
+        return bag
+    gone, put = (np.concatenate([held[t] for t in x]) for x in (named, [NEUTRAL if neutral else _swaps()[1][t] for t in named]))
+    return np.union1d(np.setdiff1d(bag, gone), put)
 
 
 @dataclass
@@ -123,8 +147,11 @@ def _design(bags: list[np.ndarray], words: np.ndarray) -> tuple[np.ndarray, np.n
     return rows[hit], at[hit]
 
 
-def train(bags: list[np.ndarray], y: np.ndarray, penalty: float = 2.0, ridge: float = 2e-4, steps: int = 400, vocabulary: int = VOCABULARY) -> WordModel:
-    """Logistic regression over word presence: log loss + penalty * squared change of score between twins + ridge."""
+def train(bags: list[np.ndarray], y: np.ndarray, penalty: float = 2.0, ridge: float = 2e-4, steps: int = 400, vocabulary: int = VOCABULARY, twins: list[tuple[np.ndarray, np.ndarray] | None] | None = None) -> WordModel:
+    """Logistic regression over word presence: log loss + penalty * squared change of score between twins + ridge.
+
+    ``twins`` are those of ``twins_of``; without them they are made from the bags.
+    """
     n, n1 = len(y), int(y.sum())
     n0 = n - n1
     flat, owner = np.concatenate(bags), np.repeat(y, [len(b) for b in bags])
@@ -135,13 +162,15 @@ def train(bags: list[np.ndarray], y: np.ndarray, penalty: float = 2.0, ridge: fl
     z = log_odds / np.sqrt(1 / (c1 + 0.5) + 1 / (c0 + 0.5))
     strong = np.flatnonzero((c1 >= 2) & (z > 2.5) & (c1 / max(n1, 1) > 8 * c0 / max(n0, 1)))
     strong = strong[np.argsort(-z[strong], kind="stable")[:vocabulary]]
-    terms, _, noun = _swaps()
-    words = np.unique(np.concatenate([known[strong], terms, [noun]]))
+    terms = _swaps()[0]
+    words = np.unique(np.concatenate([known[strong], terms, _hash_of([NEUTRAL])]))
 
-    twins = [(k, swapped(b, neutral)) for k, b in enumerate(bags) if len(np.intersect1d(b, terms)) for neutral in (False, True)]
+    if twins is None:
+        twins = [(swapped(b, False), swapped(b, True)) if len(np.intersect1d(b, terms)) else None for b in bags]
+    pairs = [(k, t) for k, pair in enumerate(twins) if pair for t in pair]
     r, c = _design(bags, words)
-    tr, tc = _design([t for _, t in twins], words) if twins else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    base = np.array([k for k, _ in twins], np.int64)
+    tr, tc = _design([t for _, t in pairs], words) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    base = np.array([k for k, _ in pairs], np.int64)
     # both classes weigh the same; the bias is put right for their shares afterwards
     cost = np.where(y == 1, n / (2 * max(n1, 1)), n / (2 * max(n0, 1)))
     w, bias = np.zeros(len(words)), 0.0
@@ -167,15 +196,20 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, rest: frozenset[int]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches):
-            blobs = [b.astype("<u8").tobytes() for b in bags_of(texts)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), batch.column("target"), pa.array(blobs, pa.binary())], ["doc_id", "target", "bag"])
+            bags = bags_of(texts)
+            blobs = [b.astype("<u8").tobytes() for b in bags]
+            # what differs between a bag and its twins
+            changes = [pair and [np.setxor1d(b, t).astype("<u8").tobytes() for t in pair] for b, pair in zip(bags, twins_of(texts), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), batch.column("target"), pa.array(blobs, pa.binary()), pa.array(changes, pa.list_(pa.binary()))], ["doc_id", "target", "bag", "changes"])
 
-    rows = labelled_sample(docs, labels, "toxic", folds, set(rest), per_class).mapInArrow(run, "doc_id string, target int, bag binary").collect()
+    rows = labelled_sample(docs, labels, "toxic", folds, set(rest), per_class).mapInArrow(run, "doc_id string, target int, bag binary, changes array<binary>").collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["bag"])))
     y = np.array([r["target"] for r in rows], np.float64)
     if len(set(y.tolist())) < 2:
         return WordModel(np.zeros(0, np.uint64), np.zeros(0), -500.0)
-    return train([np.frombuffer(r["bag"], "<u8") for r in rows], y)
+    bags = [np.frombuffer(r["bag"], "<u8") for r in rows]
+    twins = [r["changes"] and tuple(np.setxor1d(b, np.frombuffer(x, "<u8")) for x in r["changes"]) for b, r in zip(bags, rows, strict=True)]
+    return train(bags, y, twins=twins)
 
 
 def score(docs: DataFrame, model: WordModel) -> DataFrame:
