@@ -6,8 +6,11 @@ passage of every training document queries it: passages are windows of three til
 TILE_WORDS words, one tile apart, so that a whole chunk lies in some window.  Two bounds (the sum
 of the terms' largest impacts, then of their largest impacts by block of chunks) settle most
 windows with vector arithmetic over all tiles; the others are searched with block-max WAND, which returns all
-chunks above the threshold.  Each find is verified on the items' words: the share of the word
-n-grams of the question and of the answer that stand in the passage and its surroundings.
+chunks above the threshold.  Each find is verified on the items' words: the passage and its
+surroundings must hold ``min_overlap`` of the word n-grams of the question and the answer
+together, or of the matched chunk where the item has several, or all of the question's.  A
+question shorter than its chunk is a chunk of its own as well, so that it is found without its
+answer, however long that is.
 
 Items come in blocks of bounded number, each with an index of its own, and the documents are
 read once for each block: what goes to a task stays bounded however many items there are.
@@ -57,6 +60,8 @@ class Item:
 class Index:
     items: list[Item]
     chunk_item: np.ndarray
+    chunk_grams: list[np.ndarray]  # of the chunks of items with several; else none
+    chunk_weight: np.ndarray  # of its score: a question alone reaches the threshold only as a whole
     words: np.ndarray  # sorted hashes
     first: np.ndarray  # postings of word k: first[k] to first[k + 1]
     chunks: np.ndarray
@@ -79,42 +84,51 @@ def _grams(text: str) -> np.ndarray:
     return np.unique(shingle_hashes(hashes, first, GRAM)[0])
 
 
-def build(rows: list[tuple[int, str, str]]) -> Index:
+def build(rows: list[tuple[int, str, str]], threshold: float = THRESHOLD) -> Index:
     """The index of (item_id, question, answer) rows."""
-    items, chunk_item, chunks = [], [], []
+    items, chunk_item, chunk_grams, chunks, counted = [], [], [], [], []
     for item_id, question, answer in rows:
         text = question if question == answer else f"{question}\n{answer}"
         words = word_hashes([text])[0]
         if not len(words):
             continue
         parts = math.ceil(len(words) / CHUNK_WORDS)
-        for part in np.array_split(words, parts):
+        cut = np.array_split(words, parts)
+        asked = word_hashes([question])[0]
+        alone = GRAM <= len(asked) < len(cut[0])
+        for part in [*cut, asked] if alone else cut:
+            several = parts > 1 and len(part) >= GRAM and part is not asked
             chunk_item.append(len(items))
+            chunk_grams.append(np.unique(shingle_hashes(part, np.array([0, len(part)]), GRAM)[0]) if several else np.zeros(0, np.uint64))
             chunks.append(part)
+            counted.append(part is not asked)
         items.append(Item(item_id, _grams(question), _grams(answer), len(words)))
     n = len(chunks)
     words = np.unique(np.concatenate(chunks)) if n else np.zeros(0, np.uint64)
-    mean = sum(map(len, chunks)) / max(n, 1)
+    weights = np.where(counted, 1.0, min(1.0, threshold)) if n else np.zeros(0)
+    # the questions that are chunks of their own don't count in the statistics a second time
+    m = sum(counted)
+    mean = sum(len(c) for c, own in zip(chunks, counted, strict=True) if own) / max(m, 1)
     df = np.zeros(len(words), np.int64)
     held = []
-    for c in chunks:
+    for c, own in zip(chunks, counted, strict=True):
         at, tf = np.unique(np.searchsorted(words, c), return_counts=True)
-        df[at] += 1
+        df[at] += own
         held.append((at, tf))
-    idf = np.log1p((n - df + 0.5) / (df + 0.5))
+    idf = np.log1p((m - df + 0.5) / (df + 0.5))
     term, chunk, impact = [], [], []
     for k, ((at, tf), c) in enumerate(zip(held, chunks, strict=True)):
         score = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(c) / mean))
         term.append(at)
         chunk.append(np.full(len(at), k))
-        impact.append(score / score.sum())
+        impact.append(score / score.sum() * weights[k])
     term, chunk, impact = (np.concatenate(x) if n else np.zeros(0, t) for x, t in ((term, np.int64), (chunk, np.int64), (impact, np.float64)))
     order = np.lexsort((chunk, term))
     term, chunk, impact = term[order], chunk[order], impact[order]
     term_max, block_max = np.zeros(len(words)), np.zeros((len(words), n // BLOCK + 1), np.float32)
     np.maximum.at(term_max, term, impact)
     np.maximum.at(block_max, (term, chunk // BLOCK), np.nextafter(impact.astype(np.float32), np.float32(2)))
-    return Index(items, np.array(chunk_item, np.int64), words, np.searchsorted(term, np.arange(len(words) + 1)), chunk, impact, term_max, block_max)
+    return Index(items, np.array(chunk_item, np.int64), chunk_grams, weights, words, np.searchsorted(term, np.arange(len(words) + 1)), chunk, impact, term_max, block_max)
 
 
 def search(index: Index, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
@@ -215,6 +229,7 @@ def matches(index: Index, texts: list[str], threshold: float, min_overlap: float
             continue
         start = int(first[text]) + (w - int(tile_first[text])) * TILE_WORDS
         for chunk, score in found:
+            score /= float(index.chunk_weight[chunk])
             item = int(index.chunk_item[chunk])
             before = best.get((text, item))
             if before and min(before[3], before[4]) >= 1.0:
@@ -225,12 +240,14 @@ def matches(index: Index, texts: list[str], threshold: float, min_overlap: float
             q, s = (float(np.isin(x, grams).mean()) if len(x) else 1.0 for x in (it.question, it.answer))
             weight = len(it.question) + len(it.answer)
             held = (q * len(it.question) + s * len(it.answer)) / weight if weight else float(score >= 1 - 1e-6)
-            if held >= min_overlap and (before is None or (q + s, score) > (before[3] + before[4], before[2])):
+            part = index.chunk_grams[chunk]
+            enough = held >= min_overlap or (len(it.question) and q == 1.0) or (len(part) and np.isin(part, grams).mean() >= min_overlap)
+            if enough and (before is None or (q + s, score) > (before[3] + before[4], before[2])):
                 best[text, item] = (start - int(first[text]), chunk, score, q, s)
     return [(text, item, v[0], v[2], v[3], v[4]) for (text, item), v in sorted(best.items())]
 
 
-def _blocks(items: DataFrame, block_items: int) -> Iterator[Index]:
+def _blocks(items: DataFrame, block_items: int, threshold: float) -> Iterator[Index]:
     """An index of every block of about ``block_items`` items."""
     names = {c.lower() for c in items.columns}
     if {"question", "answer"} <= names:
@@ -241,7 +258,7 @@ def _blocks(items: DataFrame, block_items: int) -> Iterator[Index]:
     for k in range(n):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "q"), F.lit(n)) == k).collect()
         pairs = [(r["item_id"], *((r["q"], r["a"]) if r["a"] is not None else split_item(r["q"]))) for r in rows]
-        yield build(sorted(pairs, key=lambda p: (p[0] is None, p[0] or 0, p[1])))
+        yield build(sorted(pairs, key=lambda p: (p[0] is None, p[0] or 0, p[1])), threshold)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, min_overlap: float = MIN_OVERLAP, block_items: int = ITEMS_AT_ONCE) -> DataFrame:
@@ -249,7 +266,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, passage_word long, bm25 double, question_overlap double, answer_overlap double"
     out = None
-    for index in _blocks(items, block_items):
+    for index in _blocks(items, block_items, threshold):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -269,7 +286,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, min_overlap: float = MIN_OVERLAP, block_items: int = ITEMS_AT_ONCE) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no item."""
-    for index in _blocks(items, block_items):
+    for index in _blocks(items, block_items, threshold):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
