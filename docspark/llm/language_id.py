@@ -27,8 +27,6 @@ BUCKETS = 1 << 15
 DIM = 16
 ORDERS = (2, 3, 4)
 PER_LANGUAGE = 800
-#: Highest score that the calibrated rejection may ask for: clean documents must pass.
-MOST_ASKED = 0.5
 
 
 @dataclass
@@ -115,7 +113,7 @@ def train(languages: list[str], bags: list[tuple[np.ndarray, np.ndarray]], wante
     model.temperature = float(min(np.geomspace(0.05, 5, 60), key=loss))
     top = _softmax(z / model.temperature)
     right = top.max(axis=1)[top.argmax(axis=1) == wanted[calibrate]]
-    model.least = float(min(MOST_ASKED, 0.9 * np.quantile(right, 0.002))) if len(right) else 0.0
+    model.least = float(0.9 * np.quantile(right, 0.002)) if len(right) else 0.0
     return model
 
 
