@@ -19,6 +19,7 @@ from .plans.values import AnalysisError
 from .query import Query, as_node
 from .sources.catalog import Catalog
 from .sources.files import write_file
+from .sources.shared import checkpointed
 from .sources.system import SYSTEM
 
 
@@ -287,9 +288,7 @@ class Collection:
         self.db._may_write()
         old = self._rows()
         new = changes.with_ids(df, old, auto_id)
-        from .operators.changes import settled
-
-        new = settled(new)  # made-up ids must not change between the check and the write
+        new = checkpointed(new)  # made-up ids must not change between the check and the write
         changes.check_ids(new, old)
         n = new.count()
         if old is not None:
@@ -304,9 +303,7 @@ class Collection:
         self.db._may_write()
         docs = [documents] if isinstance(documents, dict) else list(documents)
         old = self._rows()
-        from .operators.changes import settled
-
-        new = settled(changes.with_ids(changes.frame(self.db.spark, docs, old.schema if old is not None else None), old, auto_id))
+        new = checkpointed(changes.with_ids(changes.frame(self.db.spark, docs, old.schema if old is not None else None), old, auto_id))
         changes.check_ids(new, None)
         if old is None:
             self.db.catalog.write(self.name, new)

@@ -156,13 +156,3 @@ def upserted(old: DataFrame, new: DataFrame) -> DataFrame:
     new, old = match_schema(new, old)
     rest = old.join(new.select(F.col("_id").alias("__new")), F.col("_id") == F.col("__new"), "left_anti")
     return rest.unionByName(new)
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once, in the reliable checkpoint folder."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)

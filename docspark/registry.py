@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .database import Database
-from .operators import changes
+from .sources import shared
 
 KEYS = {
     "region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "events": "event_id",
@@ -31,8 +30,7 @@ def database(spark: SparkSession, sf_dir: str, tables: tuple[str, ...], collatio
 
 def scratch(spark: SparkSession) -> str:
     """A new folder that all executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{shared.rstrip('/')}/docspark-{uuid.uuid4().hex}"
+    return shared.scratch(spark, "docspark")
 
 
 def statement(name: str, tables: str, text: str, sql: str | None, *args: object, collation: str | None = None) -> None:
