@@ -2,25 +2,52 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
+import zipfile
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpointed
+
 #: Characters that one vectorised step works on; bounds the memory of a Python worker.
 CHUNK_CHARS = 400_000
 
 LETTER, ALNUM, UPPER, DIGIT, BLANK, SYMBOL, STOP, LOUD = (1 << k for k in range(8))
 
 
+_shipped: set[str] = set()
+
+
 def find_package(spark: SparkSession) -> None:
-    """Let Python workers on the driver's machine find this package where the driver did."""
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    """Ship this package to the Python workers, once for each application: Spark serves it to executors, new ones too."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    folder = driver_folder()
+    archive = folder / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
+def driver_folder() -> Path:
+    """A new folder for files that the driver serves to executors; it goes away with the driver."""
+    folder = Path(tempfile.mkdtemp(prefix="docspark-"))
+    atexit.register(shutil.rmtree, folder, True)
+    return folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,18 +55,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read it from there.
-
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``; a temporary one
-    is set only where neither that nor the context has one, as in tests.  Spark's context
-    cleaner removes the files once nothing refers to them.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+#: Writes a DataFrame to the reliable checkpoint folder and reads it from there.
+cut = checkpointed
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
@@ -57,7 +74,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, folds: int,
 
     The sample is the rows with the smallest hashes of their ids, so it doesn't depend on the
     order or the partitions of the tables.  Labels other than 0 and 1 are left out; where an id
-    has several labels the largest counts.
+    has several labels the largest counts, where it has several texts the least.
     """
     known = (
         labels.select(F.col("doc_id"), F.col(target).cast("int").alias("target"))
@@ -74,26 +91,50 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, folds: int,
         parts.append(part.orderBy(unit, "doc_id").limit(per_class))
     chosen = parts[0].unionByName(parts[1])
     # at most 2 * per_class rows of 12 bytes: small for any input
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "target").agg(F.min("text").alias("text")).select("doc_id", "text", "target")
 
 
 def text_batches(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """Arrow batches cut into slices of about CHUNK_CHARS characters, with their texts."""
+    """Arrow batches cut into slices of about CHUNK_CHARS bytes of text, with their texts as strings."""
     for batch in batches:
-        texts = batch.column(column).to_pylist()
-        for start, end in _spans(texts):
-            yield batch.slice(start, end - start), texts[start:end]
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        for start, end in _spans(sizes):
+            part = batch.slice(start, end - start)
+            yield part, part.column(column).to_pylist()
 
 
-def _spans(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+def _spans(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
     start = size = 0
-    for k, t in enumerate(texts):
-        size += len(t or "")
+    for k, n in enumerate(sizes.tolist()):
+        size += n
         if size >= CHUNK_CHARS:
             yield start, k + 1
             start, size = k + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+_BETWEEN_WORDS = re.compile(r"[\W_]")
+
+
+def pieces_of(text: str, most: int = 4 * CHUNK_CHARS) -> Iterator[str]:
+    """A text in pieces of about ``most`` characters that end between words, so that one long text needs little memory."""
+    at = 0
+    while len(text) - at > most:
+        gap = _BETWEEN_WORDS.search(text, at + most)
+        if gap is None:
+            break
+        yield text[at : gap.end()]
+        at = gap.end()
+    yield text[at:] if at else text
+
+
+def piece_groups(texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """The lower-cased texts' pieces in groups of bounded size, with the index of each piece's text."""
+    parts = [(k, p) for k, t in enumerate(texts) for p in pieces_of((t or "").lower())]
+    for start, end in _spans(np.fromiter((len(p) for _, p in parts), np.int64, len(parts))):
+        yield np.array([k for k, _ in parts[start:end]]), [p for _, p in parts[start:end]]
 
 
 @lru_cache(maxsize=1)
@@ -164,11 +205,14 @@ def hash_runs(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words (runs of letters and digits) of all texts, their texts' indexes, and the
-    first word of each text (one past the last in the end)."""
-    points, at = code_points([t.lower() for t in texts])
-    starts, ends = runs_of((classes_of(points) & ALNUM) > 0)
-    hashes = hash_runs(points, starts, ends)
-    owner = np.searchsorted(at, starts, "right") - 1
+    first word of each text (one past the last in the end).  A long text is worked on piece by piece."""
+    found = []
+    for of, pieces in piece_groups(texts):
+        points, at = code_points(pieces)
+        starts, ends = runs_of((classes_of(points) & ALNUM) > 0)
+        found.append((hash_runs(points, starts, ends), of[np.searchsorted(at, starts, "right") - 1]))
+    hashes = np.concatenate([h for h, _ in found]) if found else np.zeros(0, np.uint64)
+    owner = np.concatenate([o for _, o in found]) if found else np.zeros(0, np.int64)
     return hashes, owner, np.searchsorted(owner, np.arange(len(texts) + 1))
 
 
