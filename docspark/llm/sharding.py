@@ -5,13 +5,16 @@ root's, at a weighted median: the bytes of the documents below it are to the byt
 leaves on that side are to all leaves.  All nodes of a level split together.  Their medians are
 found exactly by counting bytes in equal ranges of a 63-bit key and narrowing each node to the
 range that holds its median, until what is still undecided is one document or ``tolerance`` of a leaf;
-each round is one aggregation whose result has at most nodes x BINS rows.
-
-The key is the dimension's value, then a hash of the text, then one of the id, so that documents
-with equal values, equal texts included, may be split anywhere between two ids: no value is too
-common to share out.  Sizes are the UTF-8 bytes of the text and 8 more; a null text has none.
-Places in a shard come from counts of many small buckets of each shard, so that no task holds a
-shard.  Repeated rows are separate documents.
+each round is one aggregation whose result has about ROUND_ROWS rows at most, however many nodes
+and documents there are: more nodes get fewer ranges each, and more rounds.  The driver holds
+these rows and, for each node, a dimension and a threshold.
+
+The key is the dimension's value, then a hash of the text, then one of the id and of the row's
+number, which is fixed when the metadata are written; so documents with equal values, equal texts or
+equal ids, and repeated rows, may be split anywhere: nothing is too common to share out.  Sizes
+are the UTF-8 bytes of the text and 8 more; a null text has none.  Places in a shard come from
+counts of many small buckets of each shard, dealt by the row's number, so that no task holds a
+shard.  Repeated rows and rows without an id are separate documents.
 """
 
 from __future__ import annotations
@@ -24,7 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-BINS = 1024
+#: Rows of one round's histogram in all, and the least ranges of a node.
+ROUND_ROWS = 1 << 16
+LEAST_BINS = 16
 #: Bytes that a split may leave undecided, as a share of a leaf's.
 TOLERANCE = 2e-4
 #: Rows of a bucket in which places are numbered.
@@ -42,13 +47,17 @@ class Level:
 
 
 def metadata(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, text_crc32, d0..d3, node): the size of each document, its dimensions as whole numbers below 2^31, and the root."""
+    """(doc_id, row, size, text_crc32, d0..d3, node): the size of each document, its dimensions as whole numbers below 2^31, and the root.
+
+    The rows' numbers follow the partitions: write this before it is used twice.
+    """
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + TEXT_OVERHEAD
     unit = lambda c: F.shiftrightunsigned(F.xxhash64(c), 33)  # noqa: E731  a name's place on a line
     columns = {c.lower() for c in docs.columns}
     name = lambda c: unit(F.col(c).cast("string")) if c in columns else F.lit(0).cast("long")
     return docs.select(
         "doc_id",
+        F.monotonically_increasing_id().alias("row"),
         size.alias("size"),
         F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
         # a logarithm, so that a few long documents don't make the range wide
@@ -66,11 +75,11 @@ DIMENSIONS = ("d0", "d1", "d2", "d3")
 def _key(dim: Column) -> Column:
     value = F.when(dim == 0, F.col("d0")).when(dim == 1, F.col("d1")).when(dim == 2, F.col("d2")).otherwise(F.col("d3"))
     mixed = F.shiftleft(value, _TEXT_BITS + _ID_BITS) + F.shiftleft(F.shiftright("text_crc32", 32 - _TEXT_BITS), _ID_BITS)
-    return mixed + F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("place")), 64 - _ID_BITS)
+    return mixed + F.shiftrightunsigned(F.xxhash64("doc_id", "row"), 64 - _ID_BITS)
 
 
 def _lookup(values: list[int], at: Column) -> Column:
-    return F.get(F.array(*[F.lit(v).cast("long") for v in values]), at.cast("int"))
+    return F.get(F.expr(f"array({', '.join(f'{v}L' for v in values)})"), at.cast("int"))
 
 
 def _below(rows: DataFrame, level: Level) -> DataFrame:
@@ -88,7 +97,7 @@ def _leaves(n: int, depth: int) -> list[int]:
     return counts
 
 
-def grow(rows: DataFrame, n_shards: int, bins: int = BINS, tolerance: float = TOLERANCE) -> tuple[DataFrame, int]:
+def grow(rows: DataFrame, n_shards: int, round_rows: int = ROUND_ROWS, tolerance: float = TOLERANCE) -> tuple[DataFrame, int]:
     """Metadata rows with their node on the last level of a k-d tree with ``n_shards`` leaves, and its number of levels.
 
     Each level is a checkpoint, so that the next one's passes read a column instead of the tree.
@@ -116,6 +125,7 @@ def grow(rows: DataFrame, n_shards: int, bins: int = BINS, tolerance: float = TO
             if i not in pending:
                 thresholds[i] = (1 << 63) - 1  # everything goes left
         while pending:
+            bins = max(LEAST_BINS, round_rows // len(pending))
             step = [max(1, -(-(high[i] - low[i]) // bins)) for i in range(width)]
             split = rows.filter(F.col("node").isin(sorted(pending))).withColumn("dim", _lookup(dims, F.col("node")))
             inside = split.select("node", "size", _key(F.col("dim")).alias("key")).filter((F.col("key") >= _lookup(low, F.col("node"))) & (F.col("key") < _lookup(high, F.col("node"))))
@@ -157,8 +167,8 @@ def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int |
         at += c
     shard = _lookup(names, F.col("node")).cast("int")
     buckets = max(1, math.ceil((total["n"] or 0) / (n_shards * BUCKET_ROWS)))
-    placed = rows.select("doc_id", "size", "text_crc32", shard.alias("shard"), F.pmod(F.xxhash64("doc_id", F.lit("bucket")), F.lit(buckets)).cast("int").alias("bucket"))
-    in_bucket = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32")
+    placed = rows.select("doc_id", "size", "text_crc32", "row", shard.alias("shard"), F.pmod(F.xxhash64("doc_id", "row", F.lit("bucket")), F.lit(buckets)).cast("int").alias("bucket"))
+    in_bucket = Window.partitionBy("shard", "bucket").orderBy("row")
     numbered = placed.withColumn("nth", F.row_number().over(in_bucket) - 1)
     # one row for each bucket: rows / BUCKET_ROWS of them
     counts = placed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
