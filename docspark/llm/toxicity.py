@@ -1,13 +1,15 @@
 """Toxicity: a word classifier with counterfactual regularisation.
 
 A document's features are which words, and which beginnings of words of 4 to 6 characters, of a
-learned vocabulary it has.  The vocabulary holds those whose presence goes with the label far
-beyond chance in a bounded sample of labelled documents, and the identity terms.  For every sampled document that names an identity, a
+learned vocabulary it has.  The vocabulary holds the ``vocabulary`` features (4,000: the model's size)
+whose presence goes with the label furthest beyond chance in a bounded sample of labelled documents, and
+the identity terms; they are counted in Spark, and only they come to the driver.  For every sampled document that names an identity, a
 counterfactual twin is made by swapping each identity term of its text for another one of its kind, and one
 by swapping it for a neutral noun, with the beginnings that belong to either; logistic regression then pays for the squared change of score
 between a document and its twins, so that neutral mentions of a group aren't taken for abuse.
 
-Null and empty texts score as texts without any known word.  Without labels of both classes
+Both classes weigh the same in training, whatever their shares in the sample.  Null and empty texts
+score as texts without any known word.  Long texts are worked on piece by piece.  Without labels of both classes
 every score is 0.  Repeated rows get the same score.
 """
 
@@ -21,8 +23,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import ALNUM, classes_of, code_points, hash_runs, labelled_sample, runs_of, text_batches
+from .common import ALNUM, classes_of, code_points, cut, hash_runs, labelled_sample, piece_groups, runs_of, text_batches
 
 #: Labelled documents of each class that the model may learn from.
 PER_CLASS = 4000
@@ -54,14 +57,17 @@ STEMS = (4, 5, 6)
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts and of the longer words' beginnings, and the text of each."""
-    points, at = code_points([t.lower() for t in texts])
-    starts, ends = runs_of((classes_of(points) & ALNUM) > 0)
-    owner = np.searchsorted(at, starts, "right") - 1
-    hashes, owners = [hash_runs(points, starts, ends)], [owner]
-    for n in STEMS:
-        longer = ends - starts > n
-        hashes.append(hash_runs(points, starts[longer], starts[longer] + n) ^ np.uint64(n))
-        owners.append(owner[longer])
+    hashes, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for of, pieces in piece_groups(texts):
+        points, at = code_points(pieces)
+        starts, ends = runs_of((classes_of(points) & ALNUM) > 0)
+        owner = of[np.searchsorted(at, starts, "right") - 1]
+        hashes.append(hash_runs(points, starts, ends))
+        owners.append(owner)
+        for n in STEMS:
+            longer = ends - starts > n
+            hashes.append(hash_runs(points, starts[longer], starts[longer] + n) ^ np.uint64(n))
+            owners.append(owner[longer])
     return np.concatenate(hashes), np.concatenate(owners)
 
 
@@ -147,23 +153,49 @@ def _design(bags: list[np.ndarray], words: np.ndarray) -> tuple[np.ndarray, np.n
     return rows[hit], at[hit]
 
 
-def train(bags: list[np.ndarray], y: np.ndarray, penalty: float = 2.0, ridge: float = 2e-4, steps: int = 400, vocabulary: int = VOCABULARY, twins: list[tuple[np.ndarray, np.ndarray] | None] | None = None) -> WordModel:
-    """Logistic regression over word presence: log loss + penalty * squared change of score between twins + ridge.
+#: A feature is in the vocabulary if it stands in this many toxic texts, this far beyond chance and by this factor more often.
+LEAST_TEXTS, LEAST_Z, LEAST_RATIO = 2, 2.5, 8
 
-    ``twins`` are those of ``twins_of``; without them they are made from the bags.
-    """
-    n, n1 = len(y), int(y.sum())
-    n0 = n - n1
+
+def vocabulary_of(bags: list[np.ndarray], y: np.ndarray, vocabulary: int = VOCABULARY) -> np.ndarray:
+    """The features that go with the label furthest beyond chance."""
+    n1 = int(y.sum())
+    n0 = len(y) - n1
     flat, owner = np.concatenate(bags), np.repeat(y, [len(b) for b in bags])
     known, place = np.unique(flat, return_inverse=True)
     c1 = np.bincount(place, weights=owner, minlength=len(known))
     c0 = np.bincount(place, weights=1 - owner, minlength=len(known))
     log_odds = np.log((c1 + 0.5) / (n1 - c1 + 0.5)) - np.log((c0 + 0.5) / (n0 - c0 + 0.5))
     z = log_odds / np.sqrt(1 / (c1 + 0.5) + 1 / (c0 + 0.5))
-    strong = np.flatnonzero((c1 >= 2) & (z > 2.5) & (c1 / max(n1, 1) > 8 * c0 / max(n0, 1)))
-    strong = strong[np.argsort(-z[strong], kind="stable")[:vocabulary]]
+    strong = np.flatnonzero((c1 >= LEAST_TEXTS) & (z > LEAST_Z) & (c1 / max(n1, 1) > LEAST_RATIO * c0 / max(n0, 1)))
+    return known[strong[np.argsort(-z[strong], kind="stable")[:vocabulary]]]
+
+
+def counted_vocabulary(held: DataFrame, n0: int, n1: int, vocabulary: int = VOCABULARY) -> np.ndarray:
+    """The same from a table of (target, bag): counted in tasks, the ``vocabulary`` first come to the driver."""
+    counts = held.select("target", F.explode("bag").alias("h")).groupBy("h").agg(F.sum("target").alias("c1"), F.sum(1 - F.col("target")).alias("c0"))
+    log_odds = F.log((F.col("c1") + 0.5) / (F.lit(n1) - F.col("c1") + 0.5)) - F.log((F.col("c0") + 0.5) / (F.lit(n0) - F.col("c0") + 0.5))
+    z = log_odds / F.sqrt(1 / (F.col("c1") + 0.5) + 1 / (F.col("c0") + 0.5))
+    often = F.col("c1") / max(n1, 1) > LEAST_RATIO * F.col("c0") / max(n0, 1)
+    strong = counts.withColumn("z", z).filter((F.col("c1") >= LEAST_TEXTS) & (F.col("z") > LEAST_Z) & often)
+    return np.array([r["h"] for r in strong.orderBy(F.desc("z"), "h").limit(vocabulary).collect()], np.int64).view(np.uint64)
+
+
+def with_terms(words: np.ndarray) -> np.ndarray:
+    """A vocabulary, sorted, with the identity terms and the neutral noun."""
+    return np.unique(np.concatenate([words, _swaps()[0], _hash_of([NEUTRAL])]))
+
+
+def train(bags: list[np.ndarray], y: np.ndarray, penalty: float = 2.0, ridge: float = 2e-4, steps: int = 400, vocabulary: int = VOCABULARY, twins: list[tuple[np.ndarray, np.ndarray] | None] | None = None, words: np.ndarray | None = None) -> WordModel:
+    """Logistic regression over word presence: log loss + penalty * squared change of score between twins + ridge.
+
+    ``twins`` are those of ``twins_of``; without them they are made from the bags.  ``words`` is the
+    vocabulary with the terms; without it it is taken from the bags.
+    """
+    n, n1 = len(y), int(y.sum())
+    n0 = n - n1
+    words = with_terms(vocabulary_of(bags, y, vocabulary)) if words is None else words
     terms = _swaps()[0]
-    words = np.unique(np.concatenate([known[strong], terms, _hash_of([NEUTRAL])]))
 
     if twins is None:
         twins = [(swapped(b, False), swapped(b, True)) if len(np.intersect1d(b, terms)) else None for b in bags]
@@ -171,7 +203,7 @@ def train(bags: list[np.ndarray], y: np.ndarray, penalty: float = 2.0, ridge: fl
     r, c = _design(bags, words)
     tr, tc = _design([t for _, t in pairs], words) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     base = np.array([k for k, _ in pairs], np.int64)
-    # both classes weigh the same; the bias is put right for their shares afterwards
+    # both classes weigh the same
     cost = np.where(y == 1, n / (2 * max(n1, 1)), n / (2 * max(n0, 1)))
     w, bias = np.zeros(len(words)), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
@@ -194,22 +226,35 @@ def train(bags: list[np.ndarray], y: np.ndarray, penalty: float = 2.0, ridge: fl
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, rest: frozenset[int] = frozenset({0, 2}), per_class: int = PER_CLASS) -> WordModel:
     """Learn from at most ``per_class`` labelled documents of each class."""
 
+    as_long = lambda x: x.view(np.int64)
+    lists = pa.list_(pa.list_(pa.int64()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches):
             bags = bags_of(texts)
-            blobs = [b.astype("<u8").tobytes() for b in bags]
             # what differs between a bag and its twins
-            changes = [pair and [np.setxor1d(b, t).astype("<u8").tobytes() for t in pair] for b, pair in zip(bags, twins_of(texts), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), batch.column("target"), pa.array(blobs, pa.binary()), pa.array(changes, pa.list_(pa.binary()))], ["doc_id", "target", "bag", "changes"])
+            changes = [pair and [as_long(np.setxor1d(b, t)) for t in pair] for b, pair in zip(bags, twins_of(texts), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), batch.column("target"), pa.array(map(as_long, bags), pa.list_(pa.int64())), pa.array(changes, lists)], ["doc_id", "target", "bag", "changes"])
 
-    rows = labelled_sample(docs, labels, "toxic", folds, set(rest), per_class).mapInArrow(run, "doc_id string, target int, bag binary, changes array<binary>").collect()
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["bag"])))
-    y = np.array([r["target"] for r in rows], np.float64)
-    if len(set(y.tolist())) < 2:
+    schema = "doc_id string, target int, bag array<long>, changes array<array<long>>"
+    held = cut(labelled_sample(docs, labels, "toxic", folds, set(rest), per_class).mapInArrow(run, schema))
+    n_of = {r["target"]: r["count"] for r in held.groupBy("target").count().collect()}
+    if len(n_of) < 2:
         return WordModel(np.zeros(0, np.uint64), np.zeros(0), -500.0)
-    bags = [np.frombuffer(r["bag"], "<u8") for r in rows]
-    twins = [r["changes"] and tuple(np.setxor1d(b, np.frombuffer(x, "<u8")) for x in r["changes"]) for b, r in zip(bags, rows, strict=True)]
-    return train(bags, y, twins=twins)
+    words = with_terms(counted_vocabulary(held, n_of[0], n_of[1]))
+    known = as_long(words)
+
+    def restrict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bags, changes = ([x and x.as_py() if x.is_valid else None for x in batch.column(c)] for c in ("bag", "changes"))
+            less = lambda x: np.intersect1d(np.array(x, np.int64), known)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("target"), pa.array(map(less, bags), pa.list_(pa.int64())), pa.array([c and [less(x) for x in c] for c in changes], lists)], ["doc_id", "target", "bag", "changes"])
+
+    rows = held.mapInArrow(restrict, schema).collect()
+    rows.sort(key=lambda r: r["doc_id"])
+    bags = [np.sort(np.array(r["bag"], np.int64).view(np.uint64)) for r in rows]
+    twins = [r["changes"] and tuple(np.setxor1d(b, np.array(x, np.int64).view(np.uint64)) for x in r["changes"]) for b, r in zip(bags, rows, strict=True)]
+    return train(bags, np.array([r["target"] for r in rows], np.float64), twins=twins, words=words)
 
 
 def score(docs: DataFrame, model: WordModel) -> DataFrame:

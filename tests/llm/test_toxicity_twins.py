@@ -38,3 +38,22 @@ def test_twins_are_the_swapped_texts_bags():
     assert got[1] is None and got[2] is None
     for pair, said in zip((got[0], got[3]), want, strict=True):
         assert all(np.array_equal(a, b) for a, b in zip(pair, toxicity.bags_of(said), strict=True))
+
+
+def test_counted_vocabulary_is_the_same(spark):
+    rng = random.Random(5)
+    bags = [np.unique(np.array([rng.randrange(1 << 64) if rng.random() < 0.2 else (k % 3 == 0) * 50 + rng.randrange(60) for _ in range(30)], np.uint64)) for k in range(200)]
+    y = np.array([float(k % 3 == 0) for k in range(200)])
+    held = spark.createDataFrame([(int(t), b.view(np.int64).tolist()) for t, b in zip(y, bags, strict=True)], "target int, bag array<long>")
+    want = toxicity.vocabulary_of(bags, y)
+    assert len(want) > 10 and set(want.tolist()) == set(toxicity.counted_vocabulary(held, int((1 - y).sum()), int(y.sum())).tolist())
+
+
+def test_scores_by_a_plain_sum():
+    """The score is the logistic function of the bias and the weights of the features that a text has, each once."""
+    texts = ["You rotten lot, rotten!", "A fine day", "", None, "rottenness " * 3] * 6
+    model = toxicity.train(toxicity.bags_of(texts), np.array([1.0, 0, 0, 0, 1] * 6))
+    weight = dict(zip(model.words.tolist(), model.weights, strict=True))
+    for t, s in zip(texts[:5], model.score(texts[:5]), strict=True):
+        total = model.bias + sum(weight.get(f, 0.0) for f in set(toxicity.features([t or ""])[0].tolist()))
+        assert abs(1 / (1 + np.exp(-total)) - s) < 1e-12
