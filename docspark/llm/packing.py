@@ -2,18 +2,23 @@
 
 Documents are cut into pieces of at most ``capacity`` tokens and dealt into partitions of a
 bounded number of pieces.  Each partition runs best-fit decreasing and computes a lower bound of
-its number of sequences from dual feasible functions.  Sequences that are full stay; partitions
-whose sequences have gaps exchange the documents of those sequences: whole open sequences of
-different partitions meet in new ones, which rerun best-fit decreasing and keep the better of
-the old and new packing.  The rounds end when the total equals the bound of the whole corpus, or
-when a round saves nothing.
+its number of sequences from dual feasible functions.  A partition that meets its bound is
+certified and stays as it is.  The others have a gap: their sequences that aren't full meet in new
+partitions, as whole sequences, where best-fit decreasing runs again and the better of the old and the
+new packing is kept; so on until all are certified or a round saves nothing.  Certified partitions
+can still lose a sequence each to rounding up; so while the total is over the bound of the whole corpus,
+the TAILS least filled sequences of every partition meet in the same way, and if that saves nothing
+all that aren't full.  The rounds end when the total equals the corpus' bound, which proves that no packing
+needs fewer sequences, or when a round over all open sequences saves nothing.
 
 Null and empty texts have one token, the end mark.  Repeated rows are separate documents.
 """
 
 from __future__ import annotations
 
+import json
 import math
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -28,9 +33,10 @@ from .common import cut, text_batches
 
 #: Pieces that a partition gets on average: bounds the memory and time of a task.
 PARTITION_PIECES = 20_000
-MAX_ROUNDS = 6
-#: Words whose ids a worker remembers, the first that it meets: about 200 bytes each.
-CACHE_WORDS = 700_000
+#: Bytes of words and ids that a worker remembers, the first that it meets, with CACHE_EACH bytes for each beside them.
+CACHE_BYTES, CACHE_EACH = 140_000_000, 180
+#: Sequences of a partition that meet with those of others to win back what rounding up costs.
+TAILS = 3
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Texts with other characters, or with what may be a special token, are encoded whole.
@@ -49,39 +55,59 @@ def _byte_symbols() -> list[str]:
     return [table[b] for b in range(256)]
 
 
+# How a tokenizer file says that texts are lower-cased, that white space goes and that words are split by
+# the pattern above; files that say anything else are encoded text by text.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+
+def splits_words(path: str) -> bool:
+    """Whether a tokenizer file is of the kind whose words can be encoded one by one."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    special = all(t["content"].startswith("<|") for t in told.get("added_tokens") or [])
+    return told.get("normalizer") == _NORMALIZER and told.get("pre_tokenizer") == _PRE_TOKENIZER and told["model"]["type"] == "BPE" and special
+
+
 class WordEncoder:
     """Ids of a text as little-endian unsigned 32-bit words, equal to those of ``Tokenizer.encode``.
 
-    The tokenizer lower-cases, drops white space and merges within words only, so the ids of a
-    text are those of its words in a row; each worker encodes a word once and remembers its ids.
+    Where the tokenizer lower-cases, drops white space and merges within words only, the ids of a text
+    are those of its words in a row; each worker encodes a word once and remembers its ids.  Texts of
+    other tokenizers, and unusual texts, are encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        self.by_words = splits_words(path)
         self.model = self.whole.model
         self.symbols = _byte_symbols()
         self.known: dict[str, bytes] = {}  # of what stands between white space
         self.pieces: dict[str, bytes] = {}  # of its parts
+        self.room = CACHE_BYTES
+
+    def _remember(self, cache: dict[str, bytes], w: str, ids: bytes) -> bytes:
+        cost = len(w) + len(ids) + CACHE_EACH
+        if cost <= self.room:
+            self.room -= cost
+            cache[w] = ids
+        return ids
 
     def _piece(self, w: str) -> bytes:
         got = self.pieces.get(w)
         if got is None:
             shown = w if w.isalpha() and w.isascii() else "".join([self.symbols[b] for b in w.encode()])
-            got = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
-            if len(self.pieces) < CACHE_WORDS:
-                self.pieces[w] = got
+            got = self._remember(self.pieces, w, np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes())
         return got
 
     def _word(self, w: str) -> bytes:
-        got = self._piece(w) if w.isalpha() else b"".join([self._piece(p) for p in _PIECES.findall(w)])
-        if len(self.known) < CACHE_WORDS:
-            self.known[w] = got
-        return got
+        return self._remember(self.known, w, self._piece(w) if w.isalpha() else b"".join([self._piece(p) for p in _PIECES.findall(w)]))
 
     def __call__(self, text: str) -> bytes:
-        if _UNUSUAL.search(text):
+        if not self.by_words or _UNUSUAL.search(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words, known, learn = text.lower().split(), self.known, self._word
         try:
@@ -98,8 +124,6 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         if tokenizer not in _encoders:
             _encoders[tokenizer] = WordEncoder(tokenizer)
@@ -169,7 +193,7 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     return best
 
 
-_STATE = "piece_key long, part int, length long, seq string, offset long, fill long, bound long, used long"
+_STATE = "piece_key long, part int, length long, seq string, offset long, fill long, bound long, used long, tail boolean"
 
 
 def _pack_part(capacity: int, round_: int):
@@ -183,7 +207,8 @@ def _pack_part(capacity: int, round_: int):
             rows["seq"] = [f"{round_}-{p}-{b}" for p, b in zip(rows["part"], bins, strict=True)]
             rows["offset"] = offsets
             rows["fill"] = np.bincount(bins, weights=sizes, minlength=n).astype(np.int64)[bins]
-        return rows[["piece_key", "part", "length", "seq", "offset", "fill", "bound", "used"]]
+        rows["tail"] = rows["seq"].isin(rows.drop_duplicates("seq").nsmallest(TAILS, "fill")["seq"])
+        return rows[["piece_key", "part", "length", "seq", "offset", "fill", "bound", "used", "tail"]]
 
     return run
 
@@ -201,32 +226,40 @@ def pack(items: DataFrame, capacity: int = 2048, partition_pieces: int = PARTITI
         counts[r["length"]] = r["count"]
     bound = lower_bound(counts, capacity)
 
-    open_ = items.select("piece_key", "length", F.lit("").alias("seq"), F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("fill"))
+    state = ["piece_key", "length", "seq", "offset", "fill"]
+    pool = items.select("piece_key", "length", F.lit("").alias("seq"), F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("fill"))
+    is_open = F.col("fill") < capacity
+    # what meets in a round: the open sequences of partitions with gaps; if that saves nothing, the tails of all; all
+    meeting = (F.col("used") > F.col("bound"), F.col("tail"), F.lit(True))
     done: list[DataFrame] = []
-    closed, last = 0, None
-    for round_ in range(MAX_ROUNDS):
+    others: DataFrame | None = None  # open sequences that aren't in the round
+    closed = aside = before = round_ = level = 0  # sequences that are full, in others, and in the round before it
+    while True:
         parts = max(1, math.ceil(n / partition_pieces))
         key = "piece_key" if not round_ else "seq"  # whole open sequences move from the second round on
-        dealt = open_.withColumn("part", F.pmod(F.xxhash64(F.lit(round_), key), F.lit(parts)).cast("int"))
+        dealt = pool.withColumn("part", F.pmod(F.xxhash64(F.lit(round_), key), F.lit(parts)).cast("int"))
         packed = cut(dealt.select("piece_key", "part", "length", "seq", "offset", "fill").groupBy("part").applyInPandas(_pack_part(capacity, round_), _STATE))
-        is_open = F.col("fill") < capacity
-        now = packed.agg(F.count_distinct("seq"), F.count_distinct(F.when(is_open, F.col("seq"))), F.sum(is_open.cast("long"))).first()
-        n = now[2] or 0
-        if closed + now[0] <= bound or parts == 1 or n == 0 or (last is not None and closed + now[0] >= last):
-            done.append(packed)
-            break
-        if round_ + 1 == MAX_ROUNDS:
-            done.append(packed)
-            break
-        last = closed + now[0]
+        used, full = packed.agg(F.count_distinct("seq"), F.count_distinct(F.when(~is_open, F.col("seq")))).first()
+        level = 0 if not round_ or used < before else level + 1
         done.append(packed.filter(~is_open))
-        closed += now[0] - now[1]
-        open_ = packed.filter(is_open).select("piece_key", "length", "seq", "offset", "fill")
+        alive = packed.filter(is_open) if others is None else packed.filter(is_open).unionByName(others)
+        ends = closed + aside + used <= bound or (parts == 1 and not round_)
+        closed, n = closed + full, 0
+        while not ends and not n and level < len(meeting):
+            n, before, all_open = alive.agg(F.sum(meeting[level].cast("long")), F.count_distinct(F.when(meeting[level], F.col("seq"))), F.count_distinct("seq")).first()
+            n, aside = n or 0, all_open - before
+            level += not n
+        if not n:
+            done.append(alive)
+            break
+        pool, others = alive.filter(meeting[level]).select(*state), alive.filter(~meeting[level])
+        round_ += 1
     placed = done[0]
     for more in done[1:]:
         placed = placed.unionByName(more)
     piece = F.split("seq", "-")
-    sequence_id = piece[0].cast("long") * F.lit(1 << 60) + piece[1].cast("long") * F.lit(1 << 30) + piece[2].cast("long")
+    # a number of 11, 30 and 22 bits: the round, the partition and the sequence there
+    sequence_id = F.shiftleft(piece[0].cast("long"), 52) + F.shiftleft(piece[1].cast("long"), 22) + piece[2].cast("long")
     placed = placed.select("piece_key", sequence_id.alias("sequence_id"), "offset", F.col("bound").alias("partition_bound"), F.col("used").alias("partition_sequences"))
     return items.join(placed, "piece_key").drop("piece_key")
 
