@@ -10,23 +10,26 @@ worked on once.  A bucket is dealt in blocks of bounded weight, and every two bl
 group of their own, which verifies all its pairs on the full sets with matrix products, counts
 a pair only in the first band that both share, and returns one row for each linked class: its
 number of links there and the least class it is connected to.  Connected components then run
-over those few edges.
+over those few edges, in rounds until none changes anything.  Their nodes are the classes' keys, which
+come from the contents alone, so that one id on several texts, or ids of any type, do no harm.
 
 Every document gets one row: its component (``class_id``: the least doc_id in it), the number of
 rows with its very text, the number of other texts that it is linked to and the number of other
 documents that those links and its copies reach.  Texts without words link to equal texts only.
 A null text counts as empty.  Rows without a doc_id can't be named: they get a null class and
-no links.  Repeated rows are copies of each other.
+no links.  Repeated rows are copies of each other.  An id on several texts has a row for each, in
+the classes of these texts.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, shingle_hashes, text_batches, word_hashes
@@ -37,7 +40,8 @@ RECALL = 0.9999
 #: Bounds of a block: classes, and hashes in their sets.  A group holds two blocks.
 BLOCK_CLASSES = 512
 BLOCK_HASHES = 600_000
-MAX_ROUNDS = 60
+#: Parts that the rows of one label are dealt in where labels are joined: a component may hold a third of all rows.
+SALTS = 16
 
 
 def choose_bands(threshold: float, recall: float, most_hashes: int = 96) -> tuple[int, int]:
@@ -56,14 +60,19 @@ def choose_bands(threshold: float, recall: float, most_hashes: int = 96) -> tupl
 
 
 def _keys(texts: list[str], shingles: list[np.ndarray]) -> tuple[list[bytes], list[bytes]]:
-    """128-bit keys of the texts and of their sets."""
+    """128-bit keys of the texts, as ``text_key`` makes them, and of their sets."""
     import xxhash
 
-    whole = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts]
+    whole = [hashlib.md5(t.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest() for t in texts]
     sets = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else xxhash.xxh3_128_digest(b"-" + w) for s, w in zip(shingles, whole, strict=True)]
     return whole, sets
 
 
+def text_key(text: str) -> Column:
+    """The key of a column's texts; a null text counts as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
 def _sets(texts: list[str], n: int) -> list[np.ndarray]:
     hashes, _, first = word_hashes(texts)
     shingles, at = shingle_hashes(hashes, first, n)
@@ -155,7 +164,7 @@ def _roots(m: int, i: np.ndarray, j: np.ndarray, label: np.ndarray) -> np.ndarra
         low = new
 
 
-_LINKS = "set_key binary, rep long, links long, linked_rows long, root long"
+_LINKS = "set_key binary, links long, linked_rows long, root binary"
 
 
 def _verify(threshold: float):
@@ -178,13 +187,17 @@ def _verify(threshold: float):
         if not len(i):
             return None
         m = len(rows)
-        rep, texts, copies = (np.array([r[c] for r in rows], np.int64) for c in ("rep", "n_texts", "n_rows"))
+        texts, copies = (np.array([r[c] for r in rows], np.int64) for c in ("n_texts", "n_rows"))
         links = np.bincount(i, weights=texts[j], minlength=m) + np.bincount(j, weights=texts[i], minlength=m)
         reach = np.bincount(i, weights=copies[j], minlength=m) + np.bincount(j, weights=copies[i], minlength=m)
-        root, has = _roots(m, i, j, rep), links > 0
+        keys = [r["set_key"] for r in rows]
+        by_key = sorted(range(m), key=keys.__getitem__)
+        place = np.empty(m, np.int64)
+        place[by_key] = np.arange(m)
+        root, has = _roots(m, i, j, place), np.flatnonzero(links > 0)
         return pa.RecordBatch.from_arrays(
-            [pa.array([r["set_key"] for r, k in zip(rows, has, strict=True) if k], pa.binary()), pa.array(rep[has]), pa.array(links[has].astype(np.int64)), pa.array(reach[has].astype(np.int64)), pa.array(root[has])],
-            ["set_key", "rep", "links", "linked_rows", "root"],
+            [pa.array([keys[k] for k in has], pa.binary()), pa.array(links[has].astype(np.int64)), pa.array(reach[has].astype(np.int64)), pa.array([keys[by_key[root[k]]] for k in has], pa.binary())],
+            ["set_key", "links", "linked_rows", "root"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,62 +216,65 @@ def _verify(threshold: float):
     return run
 
 
+def _by_label(rows: DataFrame, labels: DataFrame, of: str) -> DataFrame:
+    """``rows`` with what ``labels`` has for their label; rows of one label are dealt in SALTS parts."""
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(of), F.lit(SALTS)).cast("int"))
+    every = labels.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(every, ["label", "salt"]).drop("salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(rep, class_id): the least node of each node's connected component, over edges (rep, root) of longs.
+    """(node, label): the least node of each node's connected component, over edges (node, root).
 
     Labels spread to the neighbours, then jump to their label's label; each round is a checkpoint.
+    A label only ever gets smaller, so the rounds end.
     """
-    both = cut(edges.filter("rep <> root").select("rep", "root").distinct().select(F.explode(F.array(F.struct("rep", "root"), F.struct(F.col("root").alias("rep"), F.col("rep").alias("root")))).alias("e")).select("e.rep", "e.root"))
-    labels = cut(both.groupBy("rep").agg(F.least(F.min("root"), F.col("rep")).alias("label")))
-    for _ in range(MAX_ROUNDS):
-        near = both.join(labels.select(F.col("rep").alias("root"), "label"), "root").groupBy("rep").agg(F.min("label").alias("near"))
-        spread = labels.join(near, "rep").select("rep", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        target = labels.select(F.col("rep").alias("label"), F.col("label").alias("further"))
-        jumped = cut(spread.join(target, "label").select("rep", "old", F.least("label", "further").alias("label")))
-        changed = jumped.filter("old <> label").limit(1).count()
-        labels = jumped.select("rep", "label")
-        if not changed:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
-    return labels.select("rep", F.col("label").alias("class_id"))
-
-
-def ngram_join(docs: DataFrame, n: int = SHINGLE_WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(doc_id, class_id, n_copies, n_links, n_linked_docs) of every row of ``docs``."""
+    pair = F.array(F.struct("node", "root"), F.struct(F.col("root").alias("node"), F.col("node").alias("root")))
+    both = cut(edges.filter("node <> root").select("node", "root").distinct().select(F.explode(pair).alias("e")).select("e.node", "e.root"))
+    labels = cut(both.groupBy("node").agg(F.least(F.min("root"), F.col("node")).alias("label")))
+    while True:
+        near = both.join(labels.select(F.col("node").alias("root"), "label"), "root").groupBy("node").agg(F.min("label").alias("near"))
+        spread = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        target = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        jumped = cut(_by_label(spread, target, "node").select("node", "old", F.least("label", "further").alias("label")))
+        labels = jumped.select("node", "label")
+        if not jumped.filter("old <> label").limit(1).count():
+            return labels
+
+
+def classes(docs: DataFrame, n: int = SHINGLE_WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key) of every row with an id, and for each text its key, its component (``label``), that component's
+    least doc_id (``class_id``), n_copies, n_links and n_linked_docs."""
     bands, rows = choose_bands(threshold, recall)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select("doc_id", "text").filter("doc_id is not null")
     sig = cut(signatures(docs, n, bands, rows))
-    named = sig.filter("doc_id is not null")
 
-    texts = named.groupBy("text_key").agg(F.min("doc_id").alias("text_rep"), F.count(F.lit(1)).alias("n_copies"), F.min("set_key").alias("set_key"), F.min("n_shingles").alias("n_shingles"))
-    texts = cut(texts)
-    sets = cut(texts.groupBy("set_key").agg(F.min("text_rep").alias("rep"), F.count(F.lit(1)).alias("n_texts"), F.sum("n_copies").alias("n_rows"), F.min("n_shingles").alias("n_shingles")))
+    # all rows of a set have the same bands
+    texts = cut(sig.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_copies"), F.min("set_key").alias("set_key"), F.min("n_shingles").alias("n_shingles"), F.min("bands").alias("bands")))
+    sets = cut(texts.groupBy("set_key").agg(F.min(F.struct("least", "text_key")).alias("one"), F.count(F.lit(1)).alias("n_texts"), F.sum("n_copies").alias("n_rows"), F.min("n_shingles").alias("n_shingles"), F.min("bands").alias("bands")))
 
     # one row for each class and band
-    reps = named.filter("n_shingles > 0").join(sets.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"]).dropDuplicates(["set_key"])
-    banded = cut(reps.select("set_key", "n_shingles", F.posexplode("bands").alias("band", "bucket")).groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("weight"), F.bit_xor(F.xxhash64("set_key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "set_key")).alias("y"), F.min("set_key").alias("low"), F.max("set_key").alias("high")).filter("m > 1"))
+    reps = sets.filter("n_shingles > 0")
+    banded = reps.select("set_key", "n_shingles", F.posexplode("bands").alias("band", "bucket")).groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("weight"), F.bit_xor(F.xxhash64("set_key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "set_key")).alias("y"), F.min("set_key").alias("low"), F.max("set_key").alias("high")).filter("m > 1")
     # buckets of the same classes: the first of them
     kept = banded.groupBy("m", "x", "y", "low", "high").agg(F.min(F.struct("band", "bucket", "weight")).alias("b")).select("b.*", "m")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK_CLASSES), F.ceil(F.col("weight") / BLOCK_HASHES)).cast("int")
-    kept = cut(kept.select("band", "bucket", blocks.alias("blocks")))
+    kept = kept.select("band", "bucket", blocks.alias("blocks"))
     members = reps.select("set_key", F.posexplode("bands").alias("band", "bucket")).join(kept, ["band", "bucket"])
     members = cut(members.withColumn("block", F.pmod(F.xxhash64("set_key", "band"), F.col("blocks")).cast("int")))
 
-    # the full sets of the classes that share a bucket, from their texts
+    # the full sets of the classes that share a bucket, from one document of each
     needed = members.select("set_key").distinct()
-    source = sets.join(needed, "set_key").select("set_key", F.col("rep").alias("doc_id"))
+    source = sets.join(needed, "set_key").select("set_key", F.col("one.least").alias("doc_id"), "one.text_key")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, found in text_batches(batches):
-            found = [t or "" for t in found]
-            shingles = _sets(found, n)
-            keys = batch.column("set_key").to_pylist()
-            good = [k == w for k, w in zip(_keys(found, shingles)[1], keys, strict=True)]  # an id may stand on several texts
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, g in zip(keys, good, strict=True) if g], pa.binary()), pa.array([s.tobytes() for s, g in zip(shingles, good, strict=True) if g], pa.binary())], ["set_key", "shingles"])
+            shingles = _sets([t or "" for t in found], n)
+            yield pa.RecordBatch.from_arrays([batch.column("set_key"), pa.array([s.tobytes() for s in shingles], pa.binary())], ["set_key", "shingles"])
 
-    contents = docs.join(source, "doc_id").select("text", "set_key").mapInArrow(full, "set_key binary, shingles binary").dropDuplicates(["set_key"])
-    contents = contents.join(reps.select("set_key", "bands"), "set_key").join(sets.select("set_key", "rep", "n_texts", "n_rows"), "set_key")
+    read = docs.withColumn("text_key", text_key("text")).join(source, ["doc_id", "text_key"]).select("text", "set_key")
+    contents = read.mapInArrow(full, "set_key binary, shingles binary").dropDuplicates(["set_key"])
+    contents = contents.join(sets.select("set_key", "bands", "n_texts", "n_rows"), "set_key")
 
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = members.select("set_key", "band", "bucket", "block", other).select("set_key", "band", "bucket", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
@@ -266,28 +282,47 @@ def ngram_join(docs: DataFrame, n: int = SHINGLE_WORDS, threshold: float = THRES
     met = dealt.join(contents, "set_key").repartition(*groups).sortWithinPartitions(*groups)
     links = cut(met.mapInArrow(_verify(threshold), _LINKS))
 
-    totals = links.groupBy("set_key").agg(F.sum("links").alias("links"), F.sum("linked_rows").alias("linked_rows"), F.min("rep").alias("rep"))
-    found = totals.join(components(links), "rep", "left").select("set_key", "links", "linked_rows", "class_id")
-    of_set = sets.select("set_key", "rep", "n_texts", "n_rows").join(found, "set_key", "left")
+    totals = links.groupBy("set_key").agg(F.sum("links").alias("links"), F.sum("linked_rows").alias("linked_rows"))
+    found = totals.join(components(links.select(F.col("set_key").alias("node"), "root")).withColumnRenamed("node", "set_key"), "set_key", "left")
+    of_set = sets.select("set_key", F.col("one.least").alias("least"), "n_texts", "n_rows").join(found, "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
+    of_set = cut(of_set)
+    of_label = of_set.groupBy("label").agg(F.min("least").alias("class_id"))
+    of_set = _by_label(of_set, of_label, "set_key")
     of_text = texts.select("text_key", "set_key", "n_copies").join(of_set, "set_key")
     of_text = of_text.select(
         "text_key",
-        F.coalesce("class_id", "rep").alias("class_id"),
+        "label",
+        "class_id",
         "n_copies",
         (F.coalesce("links", F.lit(0)) + F.col("n_texts") - 1).alias("n_links"),
         (F.coalesce("linked_rows", F.lit(0)) + F.col("n_rows") - 1).alias("n_linked_docs"),
     )
-    named = named.select("doc_id", "text_key").join(of_text, "text_key").drop("text_key")
-    unnamed = sig.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_linked_docs"))
+    return sig.select("doc_id", "text_key"), of_text
+
+
+def ngram_join(docs: DataFrame, n: int = SHINGLE_WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """(doc_id, class_id, n_copies, n_links, n_linked_docs) of every row of ``docs``."""
+    rows, of_text = classes(docs, n, threshold, recall)
+    named = rows.join(of_text, "text_key").select("doc_id", "class_id", "n_copies", "n_links", "n_linked_docs")
+    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    unnamed = docs.filter("doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), one.alias("n_copies"), none.alias("n_links"), none.alias("n_linked_docs"))
     return named.unionByName(unnamed)
 
 
-def one_of_each(docs: DataFrame, joined: DataFrame) -> DataFrame:
-    """The documents that stand for their component: those whose id is its class_id, each once, and those without an id."""
-    stand = joined.filter("doc_id = class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    columns = docs.columns
-    stand = cut(stand)
-    kept = docs.join(stand, docs["doc_id"] == stand["doc_id"], "left_semi")
-    if stand.filter("rows > 1").limit(1).count():  # an id on several rows
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null")).select(*columns)
+def one_of_each(docs: DataFrame, n: int = SHINGLE_WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """The rows of ``docs``, all columns, that stand for their component, and those without an id.
+
+    A component's row is the one with the least doc_id, then with the least key of its text; of
+    rows that repeat both, one.
+    """
+    rows, of_text = classes(docs, n, threshold, recall)
+    key, columns = "__text_key", docs.columns
+    # rows of a text share its component, so its least ids are enough
+    least = rows.groupBy("text_key", "doc_id").agg(F.count(F.lit(1)).alias("rows")).groupBy("text_key").agg(F.min(F.struct("doc_id", "text_key", "rows")).alias("first"))
+    stand = least.join(of_text.select("text_key", "label"), "text_key").groupBy("label").agg(F.min("first").alias("first"))
+    stand = cut(stand.select(F.col("first.doc_id").alias("__doc_id"), F.col("first.text_key").alias(key), "first.rows"))
+    mine = docs.withColumn(key, text_key("text"))
+    standing = lambda which: mine.join(which.drop("rows").withColumnRenamed("__doc_id", "doc_id"), ["doc_id", key], "left_semi")
+    once, more = standing(stand.filter("rows = 1")), standing(stand.filter("rows > 1"))
+    # one row of those that repeat an id and a text
+    return once.unionByName(more.dropDuplicates([key])).select(*columns).unionByName(docs.filter("doc_id is null"))
