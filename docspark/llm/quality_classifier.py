@@ -6,12 +6,15 @@ towards the pooled one and towards its own diagonal.  Their Cholesky factors are
 and cached in the model; a score is the difference of the log densities (Mahalanobis distances
 and log determinants), mapped to 0..1 by a logistic curve fitted on the same sample.
 
-Null and empty texts are scored as texts without words.  Without labels of both classes every
+A text of over LONG_CHARS characters is worked on in pieces that end at line ends, so that it needs
+little memory; a line longer than that is judged in parts.  Null and empty texts are scored as
+texts without words.  Without labels of both classes every
 score is 0.5.  Repeated rows get the same score.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,11 +22,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import ALNUM, BLANK, DIGIT, LETTER, LOUD, STOP, SYMBOL, UPPER, classes_of, code_points, hash_runs, labelled_sample, runs_of, shingle_hashes, text_batches
+from .common import ALNUM, BLANK, CHUNK_CHARS, DIGIT, LETTER, LOUD, STOP, SYMBOL, UPPER, _spans, classes_of, code_points, hash_runs, labelled_sample, runs_of, shingle_hashes, text_batches
 
 #: Labelled documents of each class that the model may learn from.
 PER_CLASS = 4000
 PREDICT_FROM = 0.3
+LONG_CHARS = 4 * CHUNK_CHARS
 
 FEATURES = (
     "log_words", "word_length", "symbols", "worst_symbols", "upper", "worst_upper", "digits", "loud", "other_marks", "repeated_next", "worst_repeated", "repeated_triples",
@@ -31,8 +35,73 @@ FEATURES = (
 )
 
 
+_BLANK = re.compile(r"[ \t\n\v\f\r]")
+
+
+def line_pieces(text: str, most: int) -> Iterator[str]:
+    """A text in pieces of ``most`` to twice as many characters, each up to a line's end or else a blank."""
+    at = 0
+    while len(text) - at > 2 * most:
+        end = text.find("\n", at + most, at + 2 * most) + 1
+        if not end:
+            gap = _BLANK.search(text, at + 2 * most)
+            if gap is None:
+                break
+            end = gap.end()
+        yield text[at:end]
+        at = end
+    yield text[at:] if at else text
+
+
+class _Counts:
+    """What is counted in each text: sums over pieces, the worst of their lines, and hashes for what is distinct."""
+
+    SUMS = ("words", "chars", "letters", "symbols", "upper", "digits", "loud", "marks", "repeated", "lines", "unfinished")
+    WORST = ("symbols", "upper", "repeated")
+
+    def __init__(self, n: int):
+        self.sums = {k: np.zeros(n) for k in self.SUMS}
+        self.worst = {k: np.zeros(n) for k in self.WORST}
+        self.distinct = np.zeros((3, n))  # words, triples, lines
+        self.triples = np.zeros(n)
+
+    def add(self, owner: np.ndarray, sums: dict, worst: dict) -> None:
+        for k, v in sums.items():
+            np.add.at(self.sums[k], owner, v)
+        for k, v in worst.items():
+            np.maximum.at(self.worst[k], owner, v)
+
+
 def statistics(texts: list[str]) -> np.ndarray:
     """One row of transformed statistics for each text, columns as in FEATURES."""
+    total = _Counts(len(texts))
+    parts = [(k, p) for k, t in enumerate(texts) for p in line_pieces(t, LONG_CHARS)]
+    last, words, lines = -1, [], []  # of a text whose pieces are still coming
+
+    def settle() -> None:
+        w, of_line = np.concatenate(words), np.concatenate(lines)
+        triples, _ = shingle_hashes(w, np.array([0, len(w)]), 3)
+        total.triples[last] = len(triples)
+        total.distinct[:, last] = [len(np.unique(x)) for x in (w, triples, of_line)]
+
+    for start, end in _spans(np.fromiter((len(p) for _, p in parts), np.int64, len(parts))):
+        owner = np.array([k for k, _ in parts[start:end]])
+        w, first, of_line, line_first, sums, worst = _count([p for _, p in parts[start:end]])
+        total.add(owner, sums, worst)
+        for j, k in enumerate(owner.tolist()):
+            if k != last:
+                if last >= 0:
+                    settle()
+                last, words, lines = k, [], []
+            words.append(w[first[j] : first[j + 1]])
+            lines.append(of_line[line_first[j] : line_first[j + 1]])
+    if last >= 0:
+        settle()
+    return _transformed(total)
+
+
+def _count(texts: list[str]) -> tuple:
+    """Hashes of words and lines with the first of each text, sums and the worst lines."""
     n = len(texts)
     points, at = code_points(texts)
     flags = classes_of(points)
@@ -67,9 +136,8 @@ def statistics(texts: list[str]) -> np.ndarray:
     np.cumsum(mark, out=word_at[1:])
     line_words = word_at[line_end] - word_at[line_start]
 
-    chars, letters = np.maximum(count((flags & BLANK) == 0, at[:-1], np.minimum(at[1:], len(points))), 1), None
     spans = (at[:-1], np.minimum(at[1:], len(points)))
-    letters = np.maximum(count((flags & LETTER) > 0, *spans), 1)
+    chars, letters = count((flags & BLANK) == 0, *spans), count((flags & LETTER) > 0, *spans)
     line_letters = count((flags & LETTER) > 0, line_start, line_end)
     symbols, line_symbols = (count((flags & SYMBOL) > 0, *x) for x in (spans, (line_start, line_end)))
     upper, line_upper = (count((flags & UPPER) > 0, *x) for x in (spans, (line_start, line_end)))
@@ -83,40 +151,39 @@ def statistics(texts: list[str]) -> np.ndarray:
     line_same = same_before[word_at[line_end]] - same_before[word_at[line_start]]
     repeated_next = same_before[first[1:]] - same_before[first[:-1]]
 
-    triples, triple_first = shingle_hashes(words, first, 3)
-    distinct_words, distinct_triples, distinct_lines, n_lines = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
     full = line_words > 0
     lines, full_text = hash_runs(points, line_start[full], line_end[full]), line_text[full]
     line_first = np.searchsorted(full_text, np.arange(n + 1))
-    for k in range(n):
-        distinct_words[k] = len(np.unique(words[first[k] : first[k + 1]]))
-        distinct_triples[k] = len(np.unique(triples[triple_first[k] : triple_first[k + 1]]))
-        distinct_lines[k] = len(np.unique(lines[line_first[k] : line_first[k + 1]]))
-        n_lines[k] = line_first[k + 1] - line_first[k]
     last = flags[np.maximum(line_end - 1, 0)]
     unfinished = by_text(np.where(full & ((last & STOP) == 0), line_words, 0))
+    long_line = lambda x, of: worst(np.where(line_words >= 4, x / np.maximum(of, 1), 0))
+    sums = {"words": n_words, "chars": chars, "letters": letters, "symbols": symbols, "upper": upper, "digits": digits, "loud": loud, "marks": marks, "repeated": repeated_next, "lines": np.diff(line_first), "unfinished": unfinished}
+    worst_lines = {"symbols": long_line(line_symbols, line_words), "upper": long_line(line_upper, np.maximum(line_letters, 1)), "repeated": long_line(line_same, line_words)}
+    return words, first, lines, line_first, sums, worst_lines
+
 
-    w = np.maximum(n_words, 1)
+def _transformed(c: _Counts) -> np.ndarray:
+    s, worst, (words, triples, lines) = c.sums, c.worst, c.distinct
+    w, chars, letters = np.maximum(s["words"], 1), np.maximum(s["chars"], 1), np.maximum(s["letters"], 1)
     part = lambda x, of: np.log((x + 0.5) / (of + 10.0))  # noqa: E731  log shares, smoothed for short texts
-    long_line = lambda x, of: worst(np.where(line_words >= 4, x / np.maximum(of, 1), 0))
     return np.stack(
         [
-            np.log1p(n_words),
+            np.log1p(s["words"]),
             np.log(chars / w),
-            part(symbols, chars),
-            np.sqrt(long_line(line_symbols, line_words)),
-            part(upper, letters),
-            long_line(line_upper, line_letters),
-            part(digits, chars),
-            part(loud, w),
-            part(marks, chars),
-            part(repeated_next, w),
-            long_line(line_same, line_words),
-            part(np.diff(triple_first) - distinct_triples, w),
-            np.log(np.maximum(distinct_words, 1) / w**0.8),
-            part(n_lines - distinct_lines, n_lines),
-            part(unfinished, w),
-            np.log1p(w / np.maximum(n_lines, 1)),
+            part(s["symbols"], chars),
+            np.sqrt(worst["symbols"]),
+            part(s["upper"], letters),
+            worst["upper"],
+            part(s["digits"], chars),
+            part(s["loud"], w),
+            part(s["marks"], chars),
+            part(s["repeated"], w),
+            worst["repeated"],
+            part(c.triples - triples, w),
+            np.log(np.maximum(words, 1) / w**0.8),
+            part(s["lines"] - lines, s["lines"]),
+            part(s["unfinished"], w),
+            np.log1p(w / np.maximum(s["lines"], 1)),
         ],
         axis=1,
     )
