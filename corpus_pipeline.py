@@ -6,13 +6,12 @@ documents it keeps, with the columns of its input.  The last returns the packed
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from docspark.llm import decontamination, language_id, ngram_join, packing, quality_classifier
 from docspark.llm.common import find_package, table
 from docspark.llm.queries import tokenizer_path
+from docspark.sources import shared
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +28,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents."""
     find_package(spark)
-    return ngram_join.one_of_each(docs, ngram_join.ngram_join(docs))
+    return ngram_join.one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,9 +57,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; what each keeps is written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    folder = f"{shared.rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    folder = shared.scratch(spark, "corpus")  # goes away with the driver
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before is not None:
+            shared.remove(spark, before)
+        before = f"{folder}/{name}"
     return docs
