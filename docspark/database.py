@@ -17,10 +17,9 @@ from .operators import changes
 from .plans.planner import Planner
 from .plans.values import AnalysisError
 from .query import Query, as_node
-from .sources.catalog import Catalog
-from .sources.files import write_file
+from .sources.catalog import Catalog, Entry
 from .sources.shared import checkpointed
-from .sources.system import SYSTEM
+from .sources.system import SYSTEM, WRITERS
 
 
 class _Resolver:
@@ -101,6 +100,17 @@ class Database:
     def rollback(self) -> bool:
         return self.catalog.rollback()
 
+    def checkpoint(self) -> int:
+        """Remove what old versions left; the number of folders."""
+        return self.catalog.clean()
+
+    def rebuild(self, collation: str | None = None) -> int:
+        """Write each collection in one folder, and remove old ones; the number of collections written."""
+        if collation:
+            self.catalog.pragmas["COLLATION"] = collation
+            self.catalog.save()
+        return self.catalog.rebuild()
+
     @property
     def collation(self) -> str | None:
         name = str(self.catalog.pragmas["COLLATION"])
@@ -154,10 +164,10 @@ class Database:
         if isinstance(s, Command):
             if s.name in ("BEGIN", "COMMIT", "ROLLBACK"):
                 return self._value(getattr(self, s.name.lower())())
-            if s.name == "REBUILD" and isinstance(s.options, dict) and s.options.get("collation"):
-                self.catalog.pragmas["COLLATION"] = s.options["collation"]
-                self.catalog.save()
-            return self._value(0)
+            self._may_write()
+            if s.name == "CHECKPOINT":
+                return self._value(self.checkpoint())
+            return self._value(self.rebuild(s.options.get("collation") if isinstance(s.options, dict) else None))
         self._may_write()
         c = self.collection(getattr(s, "collection", None) or s.name)
         if isinstance(s, Insert):
@@ -178,10 +188,11 @@ class Database:
 
     def store(self, into: str, options: object, df: DataFrame, auto_id: str = "OBJECTID") -> int:
         """SELECT ... INTO: a collection, or a file."""
-        if into.lower() == "$file":
-            return write_file(df, options)
         if into.startswith("$"):
-            raise ValueError(f"{into} can't be written")
+            write = WRITERS.get(into.lower())
+            if write is None:
+                raise ValueError(f"{into} can't be written")
+            return write(self, options, df)
         self._may_write()
         return self.collection(into).insert_frame(df, auto_id)
 
@@ -269,12 +280,11 @@ class Collection:
         return row["v"] if row is not None else None
 
     # changing
+    def _entry(self) -> Entry:
+        return self.db.catalog.entry(self.name, create=True)
+
     def _rows(self) -> DataFrame | None:
-        e = self.db.catalog.entries.get(self.name.lower())
-        if e is None:
-            self.db.catalog.entry(self.name, create=True)
-            return None
-        return self.db.spark.read.parquet(e.version) if e.version else None
+        return self.db.catalog.rows(self._entry())
 
     def insert(self, documents: dict | Iterable[dict], auto_id: str = "OBJECTID") -> int:
         docs = [documents] if isinstance(documents, dict) else list(documents)
@@ -287,17 +297,41 @@ class Collection:
     def insert_frame(self, df: DataFrame, auto_id: str = "OBJECTID") -> int:
         self.db._may_write()
         old = self._rows()
-        new = changes.with_ids(df, old, auto_id)
-        new = checkpointed(new)  # made-up ids must not change between the check and the write
-        changes.check_ids(new, old)
+        made_up = not any(c.lower() == "_id" for c in df.columns)
+        new = checkpointed(changes.with_ids(df, old, auto_id))  # made-up ids must not change between the check and the write
+        if not made_up:  # made-up ids are new
+            changes.check_ids(new, old)
         n = new.count()
-        if old is not None:
-            new, old = changes.match_schema(new, old)
-            new = old.unionByName(new)
-        self._unique(new)
-        self.db.catalog.write(self.name, new)
+        self._add(new, old)
         return n
 
+    def _add(self, new: DataFrame, old: DataFrame | None, files: dict[str, list[str]] | None = None) -> None:
+        """Write rows beside the old ones, or in the place of those of some files."""
+        catalog, e = self.db.catalog, self._entry()
+        if old is None:
+            self._unique(new)
+            catalog.write(self.name, new)
+            return
+        types = {f.name: f.dataType for f in old.schema.fields}
+        new, wide = changes.match_schema(new, old)
+        rest = old if files is None else catalog.others(e, files)
+        if any(f.dataType != types.get(f.name, f.dataType) for f in wide.schema.fields):  # a wider type is another file's type too
+            out, rest = changes.match_schema(new, rest)
+            out = rest.unionByName(out)
+            self._unique(out)
+            catalog.write(self.name, out)
+            return
+        if self._unique_indexes():
+            out, rest = changes.match_schema(new, rest)
+            self._unique(rest.unionByName(out))
+        if files is None:
+            catalog.append(self.name, new, wide.schema)
+        else:
+            catalog.replace(self.name, files, new, wide.schema)
+
+    def _with_files(self, old: DataFrame, *columns: str) -> DataFrame:
+        return old.select(*(columns or ["*"]), F.col("_metadata.file_path").alias("file"))
+
     def upsert(self, documents: dict | Iterable[dict], auto_id: str = "OBJECTID") -> int:
         """Replace documents with the same _id and insert the others; the number inserted."""
         self.db._may_write()
@@ -305,14 +339,8 @@ class Collection:
         old = self._rows()
         new = checkpointed(changes.with_ids(changes.frame(self.db.spark, docs, old.schema if old is not None else None), old, auto_id))
         changes.check_ids(new, None)
-        if old is None:
-            self.db.catalog.write(self.name, new)
-            return new.count()
-        inserted = new.join(old.select(F.col("_id").alias("__old")), F.col("_id") == F.col("__old"), "left_anti").count()
-        out = changes.upserted(old, new)
-        self._unique(out)
-        self.db.catalog.write(self.name, out)
-        return inserted
+        n = new.count()
+        return n - self._put(new, old)
 
     def update(self, documents: dict | Iterable[dict]) -> int:
         """Replace whole documents by _id; the number found."""
@@ -323,11 +351,21 @@ class Collection:
             return 0
         new = changes.frame(self.db.spark, docs, old.schema)
         found = new.join(old.select(F.col("_id").alias("__old")), F.col("_id") == F.col("__old"), "left_semi")
-        n = found.count()
-        if n:
-            out = changes.upserted(old, found)
-            self._unique(out)
-            self.db.catalog.write(self.name, out)
+        return self._put(checkpointed(found), old)
+
+    def _put(self, new: DataFrame, old: DataFrame | None) -> int:
+        """Write documents in the place of those with the same _id; how many were there."""
+        if old is None or old.isEmpty():
+            self._add(new, old)
+            return 0
+        ids = new.select(F.col("_id").alias("__new"))
+        same = F.col("_id") == F.col("__new")
+        files, n = self.db.catalog.touched(self._entry(), self._with_files(old, "_id").join(ids, same, "left_semi"))
+        if files:
+            kept = self.db.catalog.rows(self._entry(), files).join(ids, same, "left_anti")
+            new, kept = changes.match_schema(new, kept)
+            new = kept.unionByName(new)
+        self._add(new, old, files or None)
         return n
 
     def update_many(self, transform: str, predicate: str | None = None, *args: object, **params: object) -> int:
@@ -336,15 +374,12 @@ class Collection:
 
     def update_where(self, document: Node, where: Node | None, params: dict | None = None) -> int:
         self.db._may_write()
-        old = self._rows()
-        if old is None:
+        old, planner = self._rows(), self.db.planner(params)
+        if old is None or old.isEmpty():
             return 0
-        planner = self.db.planner(params)
-        n = old.filter(changes.matches(planner, old, where)).count()
+        files, n = self.db.catalog.touched(self._entry(), self._with_files(old.filter(changes.matches(planner, old, where))))
         if n:
-            out = changes.updated(planner, old, document, where)
-            self._unique(out)
-            self.db.catalog.write(self.name, out)
+            self._add(changes.updated(planner, self.db.catalog.rows(self._entry(), files), document, where), old, files)
         return n
 
     def delete(self, id_: object) -> bool:
@@ -358,13 +393,13 @@ class Collection:
 
     def delete_where(self, where: Node | None, params: dict | None = None) -> int:
         self.db._may_write()
-        old = self._rows()
-        if old is None:
+        old, planner = self._rows(), self.db.planner(params)
+        if old is None or old.isEmpty():
             return 0
-        fits = changes.matches(self.db.planner(params), old, where)
-        n = old.filter(fits).count()
+        files, n = self.db.catalog.touched(self._entry(), self._with_files(old.filter(changes.matches(planner, old, where))))
         if n:
-            self.db.catalog.write(self.name, old.filter(~fits))
+            kept = self.db.catalog.rows(self._entry(), files)
+            self.db.catalog.replace(self.name, files, kept.filter(~changes.matches(planner, kept, where)), old.schema)
         return n
 
     # indexes: kept as metadata, and unique ones as rules; Spark prunes by file statistics
@@ -402,14 +437,15 @@ class Collection:
         self.db.catalog.save()
         return found
 
+    def _unique_indexes(self) -> dict[str, dict]:
+        return {name: index for name, index in self._entry().indexes.items() if index["unique"]}
+
     def _unique(self, rows: DataFrame) -> None:
         from .plans.compiler import Compiler
 
-        e = self.db.catalog.entries.get(self.name.lower())
-        for name, index in (e.indexes if e else {}).items():
-            if index["unique"]:
-                v = Compiler(self.db.planner().context(rows))(parse_expression(index["expression"]))
-                if v.kind != "one":
-                    raise AnalysisError("a unique index needs one value a document")
-                if rows.groupBy(v.col.alias("v")).count().filter("count > 1").limit(1).count():
-                    raise changes.DuplicateKey(f"unique index {name}")
+        for name, index in self._unique_indexes().items():
+            v = Compiler(self.db.planner().context(rows))(parse_expression(index["expression"]))
+            if v.kind != "one":
+                raise AnalysisError("a unique index needs one value a document")
+            if rows.groupBy(v.col.alias("v")).count().filter("count > 1").limit(1).count():
+                raise changes.DuplicateKey(f"unique index {name}")

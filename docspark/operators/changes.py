@@ -1,8 +1,6 @@
-"""Inserts, updates and deletes of collections, as new versions of their rows.
+"""The rows that inserts, updates and deletes of collections write.
 
-Each takes the collection's DataFrame and gives the next version of it with the count that the
-statement reports; the catalog writes it.  Ids that are missing are made up: from the largest id
-on, by numbering partitions, or at random.
+Ids that are missing are made up: from the largest id on, by numbering partitions, or at random.
 """
 
 from __future__ import annotations
@@ -16,6 +14,7 @@ from ..language.nodes import Node
 from ..plans.compiler import Compiler
 from ..plans.planner import conjuncts
 from ..plans.values import as_one, is_null, literal
+from ..sources.shared import checkpointed
 
 
 class DuplicateKey(ValueError):
@@ -52,7 +51,8 @@ def frame(spark: object, documents: list[dict], schema: T.StructType | None = No
     for name in names.values():
         if name not in out.columns:
             out = out.withColumn(name, F.lit(None).cast(types.get(name, T.StringType())))
-    return out.select(*[F.col(f"`{n}`") for n in sorted(names.values(), key=lambda n: n != "_id")])
+    # few documents are one file
+    return out.coalesce(1).select(*[F.col(f"`{n}`") for n in sorted(names.values(), key=lambda n: n != "_id")])
 
 
 def match_schema(df: DataFrame, into: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -89,6 +89,7 @@ def with_ids(df: DataFrame, old: DataFrame | None, auto: str) -> DataFrame:
             top = old.agg(F.max("_id")).first()[0] or 0
         if id_ is not None:
             top = max(top, df.agg(F.max(F.col(id_).cast("long"))).first()[0] or 0)
+        df = checkpointed(df)  # numbering reads it twice
         number = numbered(df if id_ is None else df.filter(F.col(id_).isNull()).drop(id_))
         new = number.select((F.col("__n") + F.lit(top)).cast(kind).alias("_id"), *[F.col(f"`{c}`") for c in number.columns if c != "__n"])
         if id_ is None:
@@ -149,10 +150,3 @@ def updated(planner: object, df: DataFrame, document: Node, where: Node | None)
             new[old.name] = F.when(fits, v.col.cast(both)).otherwise(F.col(f"`{old.name}`").cast(both))
     kept = [new.get(f.name, F.col(f"`{f.name}`")).alias(f.name) for f in df.schema.fields]
     return df.select(*kept, *[c.alias(k) for k, c in new.items() if k.lower() not in names])
-
-
-def upserted(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows of ``old`` whose _id isn't in ``new``, and all rows of ``new``."""
-    new, old = match_schema(new, old)
-    rest = old.join(new.select(F.col("_id").alias("__new")), F.col("_id") == F.col("__new"), "left_anti")
-    return rest.unionByName(new)

@@ -1,19 +1,27 @@
 """The catalog: collections, their keys, indexes and versions.
 
-A stored collection is a folder with one sub-folder of Parquet for each version; the catalog
-file names the current ones.  A statement writes a new version and then replaces the catalog
-file, so readers keep what they opened.  In a transaction the new catalog stays in memory until
-COMMIT; ROLLBACK forgets it.  Views are DataFrames of the session, read-only.
+A stored collection is a list of folders of Parquet, each perhaps without some of its files; the
+catalog file names the current ones.  An insert adds a folder; an update or delete writes a new
+folder for the rows of the files that have a row to change, and takes those files away.  Each statement
+writes first and replaces the catalog file last, so readers keep what they opened.  In a
+transaction the new catalog stays in memory until COMMIT; ROLLBACK forgets it.  CHECKPOINT removes
+folders that no collection names, REBUILD writes each collection in one folder.  Views are
+DataFrames of the session, read-only.
 """
 
 from __future__ import annotations
 
 import copy
 import json
+import re
 import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .shared import file_system
 
 SYSTEM_PREFIX = "$"
 
@@ -21,7 +29,8 @@ SYSTEM_PREFIX = "$"
 @dataclass
 class Entry:
     name: str
-    version: str | None = None  # folder of the current rows; None: no rows yet
+    folders: list[dict] = field(default_factory=list)  # path, and the names of files that don't count any more (without)
+    schema: dict | None = None  # of the rows; files may lack columns
     indexes: dict[str, dict] = field(default_factory=dict)
     key: list[str] = field(default_factory=lambda: ["_id"])
 
@@ -40,9 +49,7 @@ class Catalog:
 
     # the catalog file, wherever Spark can write
     def _hadoop(self, path: str) -> tuple:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+        return file_system(self.spark, path)
 
     def _load(self) -> None:
         fs, p = self._hadoop(f"{self.path}/catalog.json")
@@ -100,9 +107,8 @@ class Catalog:
         low = name.lower()
         if low in self.entries:
             e = self.entries[low]
-            if e.version is None:
-                return self.spark.createDataFrame([], "_id string"), e.key
-            return self.spark.read.parquet(e.version), e.key
+            rows = self.rows(e)
+            return self.spark.createDataFrame([], "_id string") if rows is None else rows, e.key
         if low in self.views:
             _, df, key = self.views[low]
             return df, key
@@ -123,16 +129,94 @@ class Catalog:
     def has(self, name: str) -> bool:
         return name.lower() in self.entries or name.lower() in self.views
 
-    def write(self, name: str, df: DataFrame) -> None:
-        """A new version of a collection's rows."""
+    # the rows of stored collections
+    def rows(self, e: Entry, files: dict[str, list[str]] | None = None) -> DataFrame | None:
+        """All current rows, or those of some files by folder; None where there never were any."""
+        if e.schema is None:
+            return None
+        schema = T.StructType.fromJson(e.schema)
+        paths = [f"{folder}/{n}" for folder, names in files.items() for n in names] if files is not None else self._paths(e)
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _paths(self, e: Entry) -> list[str]:
+        out: list[str] = []
+        for f in e.folders:
+            gone = set(f["without"])
+            out += [f"{f['path']}/{n}" for n, _ in self.files(f["path"]) if n not in gone] if gone else [f["path"]]
+        return out
+
+    def files(self, folder: str) -> list[tuple[str, int]]:
+        """Names and bytes of a folder's Parquet files."""
+        fs, p = self._hadoop(folder)
+        return sorted((s.getPath().getName(), s.getLen()) for s in fs.listStatus(p) if s.getPath().getName().startswith("part-"))
+
+    def _new_folder(self, e: Entry, df: DataFrame) -> dict:
         if not self.path:
             raise ValueError("this database has no folder to write to")
-        e = self.entry(name, create=True)
         folder = f"{self.path}/{e.name}/{uuid.uuid4().hex}"
         df.write.parquet(folder)
-        e.version = folder
+        return {"path": folder, "without": []}
+
+    def write(self, name: str, df: DataFrame) -> None:
+        """A new version of all of a collection's rows."""
+        e = self.entry(name, create=True)
+        e.folders, e.schema = [self._new_folder(e, df)], df.schema.jsonValue()
         self.save()
 
+    def append(self, name: str, df: DataFrame, schema: T.StructType) -> None:
+        """Rows more; ``schema`` is that of the collection with them."""
+        e = self.entry(name, create=True)
+        e.folders, e.schema = [*e.folders, self._new_folder(e, df)], schema.jsonValue()
+        self.save()
+
+    def touched(self, e: Entry, rows: DataFrame) -> tuple[dict[str, list[str]], int]:
+        """Files, by folder, of stored rows that have a column ``file``, and the rows' number, in one pass; a row for each file."""
+        by_name = {f["path"].rsplit("/", 1)[-1]: f["path"] for f in e.folders}
+        files: dict[str, list[str]] = {}
+        n = 0
+        for r in rows.groupBy("file").agg(F.count(F.lit(1)).alias("n")).collect():
+            folder, name = r["file"].rsplit("/", 2)[-2:]
+            files.setdefault(by_name[folder], []).append(name)
+            n += r["n"]
+        return files, n
+
+    def replace(self, name: str, files: dict[str, list[str]], df: DataFrame, schema: T.StructType) -> None:
+        """Rows in the place of those of some files."""
+        e = self.entry(name)
+        new = self._new_folder(e, df)
+        kept = [{"path": f["path"], "without": sorted({*f["without"], *files.get(f["path"], ())})} for f in e.folders]
+        e.folders, e.schema = [*kept, new], schema.jsonValue()
+        self.save()
+
+    def others(self, e: Entry, files: dict[str, list[str]]) -> DataFrame | None:
+        """The rows of all files but some."""
+        rest = Entry(e.name, [{"path": f["path"], "without": [*f["without"], *files.get(f["path"], ())]} for f in e.folders], e.schema)
+        return self.rows(rest)
+
+    def clean(self) -> int:
+        """Remove folders that no collection names; how many.  What still reads them fails from then on."""
+        if self.saved is not None:
+            raise ValueError("a transaction is open")
+        if not self.path:
+            return 0
+        named = {f["path"].rsplit("/", 1)[-1] for e in self.entries.values() for f in e.folders}
+        fs, top = self._hadoop(self.path)
+        removed = 0
+        for at in [s.getPath() for s in fs.listStatus(top) if s.isDirectory()] if fs.exists(top) else []:
+            for s in fs.listStatus(at):
+                name = s.getPath().getName()
+                if s.isDirectory() and re.fullmatch(r"[0-9a-f]{32}", name) and name not in named:
+                    removed += bool(fs.delete(s.getPath(), True))
+        return removed
+
+    def rebuild(self) -> int:
+        """Write every collection that is in several folders, or lacks files of one, in one folder; how many."""
+        todo = [e for e in self.entries.values() if len(e.folders) > 1 or any(f["without"] for f in e.folders)]
+        for e in todo:
+            self.write(e.name, self.rows(e))
+        self.clean()
+        return len(todo)
+
     def drop(self, name: str) -> bool:
         found = self.entries.pop(name.lower(), None) is not None
         self.save()

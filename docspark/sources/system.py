@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from .files import read_file
+from .files import read_file, write_file
 
 #: name -> (database, options) -> DataFrame
 SYSTEM: dict[str, Callable[..., DataFrame]] = {}
+#: name -> (database, options, rows) -> how many were written
+WRITERS: dict[str, Callable[..., int]] = {}
 
 
-def system(name: str, run: Callable[..., DataFrame]) -> None:
-    """Add a system collection; ``run`` takes the database and the options."""
+def system(name: str, run: Callable[..., DataFrame], write: Callable[..., int] | None = None) -> None:
+    """Add a system collection; ``run`` takes the database and the options, ``write`` the rows of SELECT ... INTO too."""
     SYSTEM[name.lower()] = run
+    if write is not None:
+        WRITERS[name.lower()] = write
 
 
 def _cols(db: object, options: object) -> DataFrame:
@@ -50,9 +54,23 @@ def _transactions(db: object, options: object) -> DataFrame:
     return db.spark.createDataFrame([(1, "write")] if db.catalog.saved is not None else [], "transactionID int, mode string")
 
 
-def _nothing(schema: str) -> Callable[..., DataFrame]:
-    """Collections of a page store's inner state, which isn't here."""
-    return lambda db, options: db.spark.createDataFrame([], schema)
+def _snapshots(db: object, options: object) -> DataFrame:
+    """The folders that make up each collection's current version."""
+    rows = [(k + 1, e.name, "write" if db.catalog.saved is not None else "read", f["path"], len(f["without"])) for e in db.catalog.entries.values() for k, f in enumerate(e.folders)]
+    return db.spark.createDataFrame(rows, "snapshotID int, collection string, mode string, folder string, removedFiles int")
+
+
+def _page_list(db: object, options: object) -> DataFrame:
+    """The files of each collection, which are its pages here."""
+    rows = []
+    for e in db.catalog.entries.values():
+        for f in e.folders:
+            rows += [(len(rows) + k, "data", e.name, f"{f['path']}/{n}", size) for k, (n, size) in enumerate((x for x in db.catalog.files(f["path"]) if x[0] not in f["without"]), 1)]
+    return db.spark.createDataFrame(rows, "pageID int, pageType string, collection string, file string, bytes bigint")
+
+
+def _open_cursors(db: object, options: object) -> DataFrame:
+    raise ValueError("$open_cursors: results are DataFrames, so no cursor stays open")
 
 
 def _query(db: object, options: object) -> DataFrame:
@@ -66,9 +84,9 @@ system("$indexes", _indexes)
 system("$database", _database)
 system("$sequences", _sequences)
 system("$transactions", _transactions)
-system("$snapshots", _nothing("snapshotID int, collection string, mode string"))
-system("$open_cursors", _nothing("cursorID int, collection string"))
-system("$page_list", _nothing("pageID int, pageType string, collection string"))
-system("$dump", _nothing("pageID int, pageType string"))
+system("$snapshots", _snapshots)
+system("$open_cursors", _open_cursors)
+system("$page_list", _page_list)
+system("$dump", _page_list)
 system("$query", _query)
-system("$file", lambda db, options: read_file(db.spark, options))
+system("$file", lambda db, options: read_file(db.spark, options), lambda db, options, df: write_file(df, options))
