@@ -133,36 +133,44 @@ def boolean_(ctx: object, v: Val) -> Val:
     return made(F.when(s == "true", True).when(s == "false", False), BOOL, v)
 
 
-def parse_date(s: Column, culture: str | None = None) -> Column:
-    """ISO dates, then dates with slashes, dots or dashes in the culture's order."""
-    month_first = culture is None or culture.lower() in MONTH_FIRST
-    order = ["M/d/yyyy", "d/M/yyyy"] if month_first else ["d/M/yyyy", "M/d/yyyy"]
-    slashed = F.regexp_replace(s, r"[.-]", "/")
-    tries = [F.try_to_timestamp(s)]
-    for p in order[:1]:
-        tries += [F.try_to_timestamp(slashed, F.lit(p + " H:mm:ss")), F.try_to_timestamp(slashed, F.lit(p + " H:mm")), F.try_to_timestamp(slashed, F.lit(p))]
-    return F.coalesce(*tries)
-
-
-@function("DATETIME", "DATE", "DATETIME_UTC", "DATE_UTC", arity=1)
-def datetime_(ctx: object, v: Val) -> Val:
-    if is_date(v.type):
-        return v.but(col=v.col.cast("timestamp"), type=TIME)
-    return made(parse_date(v.col), TIME, v) if is_string(v.type) else null(TIME)
-
-
-@function("DATETIME", "DATE", "DATETIME_UTC", "DATE_UTC", arity=2)
-def datetime_in(ctx: object, v: Val, culture: Val) -> Val:
-    if is_date(v.type):
-        return v.but(col=v.col.cast("timestamp"), type=TIME)
-    return made(parse_date(v.col, culture.constant if isinstance(culture.constant, str) else None), TIME, v) if is_string(v.type) else null(TIME)
-
-
-@function("DATETIME", "DATE", "DATETIME_UTC", "DATE_UTC", arity=3)
-def datetime_of(ctx: object, y: Val, m: Val, d: Val) -> Val:
-    if not (is_number(y.type) and is_number(m.type) and is_number(d.type)):
-        return null(TIME)
-    return made(F.try_make_timestamp(y.col.cast("int"), m.col.cast("int"), d.col.cast("int"), F.lit(0), F.lit(0), F.lit(0)), TIME, y, m, d)
+def in_utc(local: Column) -> Column:
+    """The moment at which clocks in UTC show a timestamp without zone, whatever the session's zone."""
+    days = F.datediff(local.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    seconds = days * 86_400 + F.hour(local) * 3_600 + F.minute(local) * 60
+    return F.timestamp_micros(seconds * 1_000_000 + (F.date_part(F.lit("SECOND"), local) * 1_000_000).cast("long"))
+
+
+def parse_date(s: Column, culture: str | None = None, utc: bool = False) -> Column:
+    """ISO dates, then dates with slashes, dots or dashes in the culture's order; in the session's zone, or in UTC, unless they name one."""
+    day_first = culture is not None and culture.lower() not in MONTH_FIRST
+    slashed = r"^\s*(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})(\s+\d{1,2}:\d{2}(:\d{2})?)?\s*$"
+    s = F.when(F.rlike(s, F.lit(r"\d")), s)  # no "today"
+    iso = F.regexp_replace(s, slashed, "$3-$2-$1$4" if day_first else "$3-$1-$2$4")
+    if not utc:
+        return F.try_to_timestamp(iso)
+    names_zone = F.rlike(iso, F.lit(r"\d:\d\d.*([zZ]|[+-]\d{1,2}(:?\d{2})?|UTC|GMT)\s*$"))
+    return F.when(names_zone, F.try_to_timestamp(iso)).otherwise(in_utc(iso.try_cast("timestamp_ntz")))
+
+
+def _dates(names: tuple[str, str], utc: bool) -> None:
+    def parsed(v: Val, culture: str | None = None) -> Val:
+        if is_date(v.type):
+            return v.but(col=v.col.cast("timestamp"), type=TIME)
+        return made(parse_date(v.col, culture, utc), TIME, v) if is_string(v.type) else null(TIME)
+
+    def of_parts(ctx: object, y: Val, m: Val, d: Val) -> Val:
+        if not (is_number(y.type) and is_number(m.type) and is_number(d.type)):
+            return null(TIME)
+        zone = (F.lit("UTC"),) if utc else ()
+        return made(F.try_make_timestamp(y.col.cast("int"), m.col.cast("int"), d.col.cast("int"), F.lit(0), F.lit(0), F.lit(0), *zone), TIME, y, m, d)
+
+    function(*names, arity=1)(lambda ctx, v: parsed(v))
+    function(*names, arity=2)(lambda ctx, v, culture: parsed(v, culture.constant if isinstance(culture.constant, str) else None))
+    function(*names, arity=3)(of_parts)
+
+
+_dates(("DATETIME", "DATE"), False)
+_dates(("DATETIME_UTC", "DATE_UTC"), True)
 
 
 def _test(*names: str, kinds: object) -> None:

@@ -126,6 +126,9 @@ def values(ctx: object, v: Val) -> Val:
         return made(F.array(*[to_type(x, t).col for x in found]), t, v, *found).but(kind="many")
     if isinstance(v.type, T.MapType):
         return made(F.map_values(v.col), v.type.valueType, v).but(kind="many")
+    if isinstance(v.type, T.VariantType):
+        found = F.map_values(F.try_variant_get(v.col, "$", "map<string,variant>"))
+        return made(F.coalesce(found, F.array().cast("array<variant>")), T.VariantType(), v).but(kind="many")
     return Val(F.array().cast("array<string>"), S, "many", nullable=False)
 
 

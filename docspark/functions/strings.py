@@ -70,7 +70,10 @@ _DATE_TOKENS = {
 
 @function("FORMAT", arity=2)
 def format_(ctx: object, v: Val, pattern: Val) -> Val:
-    """Common date patterns, and the number formats N, F, D, X, P and E with an optional precision."""
+    """Common date patterns, the number formats N, F, D, X, P and E with an optional precision, and patterns of digits.
+
+    Patterns have ``0`` for digits that are always there, ``#`` for others, ``,`` ``.`` and ``%``; halves round to even.
+    """
     if not isinstance(pattern.constant, str):
         return null(S)
     p = pattern.constant
@@ -80,6 +83,8 @@ def format_(ctx: object, v: Val, pattern: Val) -> Val:
     if not is_number(v.type):
         return null(S)
     m = re.fullmatch(r"([NnFfDdXxPpEe])(\d*)", p)
+    if not m and re.fullmatch(r"[#,]*[0,]*(\.0*#*)?%?", p) and re.search("[0#]", p):
+        return made(F.call_function("format_number", v.col.cast("double"), F.lit(p)), S, v)
     if not m:
         raise AnalysisError(f"number format {p!r} isn't supported")
     kind, n = m[1].upper(), int(m[2]) if m[2] else None

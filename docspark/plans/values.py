@@ -235,7 +235,9 @@ def text(v: Val) -> Column:
         whole = (v.col == F.floor(v.col)) & (F.abs(v.col) < 1e15)
         s = F.when(whole, v.col.cast("long").cast("string")).otherwise(v.col.cast("string"))
     elif isinstance(t, T.TimestampType):
-        s = F.date_format(v.col, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+        # the fields of UTC, whatever the session's zone
+        utc = (F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'") + F.make_dt_interval(secs=(F.unix_micros(v.col.cast("timestamp")).cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)"))).cast("string")
+        s = F.concat(F.substring(utc, 1, 10), F.lit("T"), F.substring(utc, 12, 8), F.lit("."), F.rpad(F.substring(utc, 21, 3), 3, "0"), F.lit("Z"))
     elif isinstance(t, T.BinaryType):
         s = F.base64(v.col)
     elif isinstance(t, (T.StructType, T.ArrayType, T.MapType, T.VariantType)):

@@ -1,7 +1,9 @@
 """$file: JSON and CSV files as collections.
 
 A JSON file holds one array of documents (or a document a line); extended forms such as
-``{"$date": ...}`` become values.  CSV fields are read as strings, and nulls, documents and
+``{"$date": ...}`` become values.  Written JSON has a document a line, or with ``pretty`` each
+document over several lines with ``indent`` blanks a level (4 unless given) and a blank line after it; such
+files are read too.  CSV fields are read as strings, and nulls, documents and
 arrays are written as ``null``.
 """
 
@@ -53,7 +55,8 @@ def read_file(spark: SparkSession, options: object) -> DataFrame:
         start = spark.read.text(o["filename"]).filter("trim(value) <> ''").limit(1).collect()
         # an array spans lines; Spark's own files have a document a line, which many tasks can read
         whole = not start or start[0][0].strip() == "[" or not start[0][0].strip().endswith("}")
-        df = spark.read.json(o["filename"], multiLine=whole, encoding=encoding)
+        pretty = bool(start) and start[0][0].rstrip() == "{"  # documents over several lines, a blank line after each
+        df = spark.read.json(o["filename"], lineSep="\n\n", encoding=encoding) if pretty else spark.read.json(o["filename"], multiLine=whole, encoding=encoding)
         return df.select(*[decoded(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
     header = o.get("header")
     names = header if isinstance(header, list) else None
@@ -65,7 +68,14 @@ def write_file(df: DataFrame, options: object) -> int:
     """Write ``df`` as a folder of part files; the count of its rows."""
     o = _options(options)
     mode = "overwrite" if o.get("overwritten") else "errorifexists"
-    if _format(o) == "json":
+    if _format(o) == "json" and o.get("pretty"):
+        columns = [F.col(f"`{f.name}`") for f in df.schema.fields]
+        text = F.to_json(F.struct(*columns), {"pretty": "true", "ignoreNullFields": "false"})
+        n = int(o.get("indent", 4))
+        if n != 2:  # two blanks a level are written
+            text = F.array_join(F.transform(F.split(text, "\n"), lambda x: F.concat(F.repeat(F.lit(" "), ((F.length(x) - F.length(F.ltrim(x))) / 2 * n).cast("int")), F.ltrim(x))), "\n")
+        df.select(F.concat(text, F.lit("\n")).alias("value")).write.mode(mode).text(o["filename"])
+    elif _format(o) == "json":
         df.write.mode(mode).json(o["filename"], encoding=o.get("encoding", "UTF-8"), ignoreNullFields=False)
     else:
         plain = [F.lit("null").alias(f.name) if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)) else F.col(f"`{f.name}`") for f in df.schema.fields]
