@@ -2,7 +2,8 @@
 
 A reference is a document with ``$id`` and ``$ref``, the key and the name of a collection.  A
 found document's fields take the place of ``$ref`` beside ``$id``; a missing one leaves ``$ref``
-and says ``$missing``.  References in arrays are joined one by one and gathered in order.
+and says ``$missing``.  References in arrays are joined one by one and gathered in order, by the collection's key and a
+digest of the row: where the rows lie by their key already, nothing is shuffled for that.
 """
 
 from __future__ import annotations
@@ -12,9 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..language.nodes import Every, Member, Node, Path
+from ..plans.values import _sortable
 
-#: Collections that the references of one path may name.
-MOST_TARGETS = 100
 _RIGHT, _ROW, _AT, _REF = "__target", "__row", "__at", "__reference"
 
 
@@ -30,14 +30,14 @@ def include(planner: object, df: DataFrame, path: Node, key: list[str]) -> DataF
     top = _field(df.schema, names[0])
     if top is None:
         return df
-    return _at(planner, df, top, names[1:], planner.resolve.references(planner.source, ".".join(names)))
+    return _at(planner, df, top, names[1:], planner.resolve.references(planner.source, ".".join(names)), key)
 
 
-def _at(planner: object, df: DataFrame, top: T.StructField, rest: list[str], targets: list[str] | None) -> DataFrame:
+def _at(planner: object, df: DataFrame, top: T.StructField, rest: list[str], targets: list[str] | None, key: list[str]) -> DataFrame:
     column = F.col(f"`{top.name}`")
     t: T.DataType = top.dataType
     if isinstance(t, T.ArrayType):
-        return _each(planner, df, top.name, rest, targets)
+        return _each(planner, df, top.name, rest, targets, key)
     steps, at = [], t
     for name in rest:
         f = _field(at, name) if isinstance(at, T.StructType) else None
@@ -61,12 +61,10 @@ def _replace(col: Column, t: T.DataType, steps: list[str], value: Column) -> Col
     return F.when(col.isNotNull(), inside)
 
 
-def _targets(df: DataFrame) -> list[str]:
-    """The collections that the references name: at most MOST_TARGETS rows come to the driver."""
-    rows = df.select(F.col(_REF).getField("$ref").alias("r")).filter("r is not null").distinct().limit(MOST_TARGETS + 1).collect()
-    if len(rows) > MOST_TARGETS:
-        raise ValueError(f"references to more than {MOST_TARGETS} collections")
-    return sorted(r["r"] for r in rows)
+def _targets(planner: object, df: DataFrame) -> list[str]:
+    """The known collections that the references name."""
+    name = F.col(_REF).getField("$ref")
+    return sorted(r["r"] for r in df.select(name.alias("r")).filter(name.isin([*planner.resolve.known()])).distinct().collect())
 
 
 def _lookup(planner: object, df: DataFrame, t: T.StructType, targets: list[str] | None) -> tuple[DataFrame, Column]:
@@ -78,7 +76,7 @@ def _lookup(planner: object, df: DataFrame, t: T.StructType, targets: list[str]
     id_, name = ref.getField("$id"), ref.getField("$ref")
     parts: list[tuple[Column, list[tuple[str, Column]]]] = []
     unknown = F.lit(True)
-    for k, target in enumerate(_targets(df) if targets is None else targets):
+    for k, target in enumerate(_targets(planner, df) if targets is None else targets):
         try:
             right, key = planner.resolve(target, None)
         except KeyError:
@@ -102,12 +100,27 @@ def _lookup(planner: object, df: DataFrame, t: T.StructType, targets: list[str]
     return df, F.when(ref.isNotNull(), document)
 
 
-def _each(planner: object, df: DataFrame, name: str, rest: list[str], targets: list[str] | None) -> DataFrame:
-    """References in an array: one row for each, joined, and gathered again in their order."""
-    others = [c for c in df.columns if c != name]
-    items = df.withColumn(_ROW, F.monotonically_increasing_id()).select("*", F.posexplode_outer(F.col(f"`{name}`")).alias(_AT, "__item"))
-    inner = _at(planner, items, items.schema["__item"], rest, targets)
-    gathered = F.sort_array(F.collect_list(F.when(F.col(_AT).isNotNull(), F.struct(_AT, F.to_json("__item").alias("j"), F.col("__item")))))
-    one = inner.groupBy(_ROW).agg(*[F.any_value(F.col(f"`{c}`")).alias(c) for c in others], F.any_value(F.col(f"`{name}`")).alias("__was"), gathered.alias("__all"))
-    value = F.when(F.col("__was").isNotNull(), F.transform("__all", lambda s: s["__item"]))
-    return one.withColumn(name, value).select(*[F.col(f"`{c}`") for c in df.columns])
+def _digest(df: DataFrame) -> Column:
+    """A hash of all columns of a row."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") if _sortable(f.dataType) else F.to_json(F.struct(F.col(f"`{f.name}`"))) for f in df.schema.fields])
+
+
+def _each(planner: object, df: DataFrame, name: str, rest: list[str], targets: list[str] | None, key: list[str]) -> DataFrame:
+    """References in an array: one row for each, joined, and gathered again in their order.
+
+    Rows that repeat in all columns gather together; each of them gets its share again.
+    """
+    low = {k.lower() for k in key}
+    by = [c for c in df.columns if c.lower() in low and c != name and _sortable(df.schema[c].dataType)]
+    others = [c for c in df.columns if c != name and c not in by]
+    items = df.withColumn(_ROW, _digest(df)).select("*", F.posexplode_outer(F.col(f"`{name}`")).alias(_AT, "__item"))
+    inner = _at(planner, items, items.schema["__item"], rest, targets, [])
+    gathered = F.collect_list(F.when(F.col(_AT).isNotNull(), F.struct(_AT, F.col("__item"))))
+    # places differ but in repeated rows; documents without an order need a comparison of places alone
+    gathered = F.sort_array(gathered) if _sortable(inner.schema["__item"].dataType) else F.array_sort(gathered, lambda a, b: a[_AT] - b[_AT])
+    same = F.count(F.when(F.coalesce(F.col(_AT), F.lit(0)) == 0, 1)).cast("int")
+    one = inner.groupBy(*[F.col(f"`{c}`") for c in by], _ROW).agg(*[F.any_value(F.col(f"`{c}`")).alias(c) for c in others], F.any_value(F.col(f"`{name}`")).alias("__was"), gathered.alias("__all"), same.alias("__same"))
+    own = F.filter("__all", lambda x, k: k % F.col("__same") == 0)
+    value = F.when(F.col("__was").isNotNull(), F.transform(own, lambda s: s["__item"]))
+    again = one.withColumn(name, value).withColumn("__again", F.explode(F.array_repeat(F.lit(0), F.col("__same"))))
+    return again.select(*[F.col(f"`{c}`") for c in df.columns])

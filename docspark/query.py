@@ -103,6 +103,7 @@ class Expr:
     __hash__ = object.__hash__
 
     def like(self, pattern: object) -> Expr:
+        """``%`` and ``_`` in the pattern stand for others; startswith, endswith and contains don't take them otherwise either."""
         return self._with("LIKE", pattern)
 
     def between(self, low: object, high: object) -> Expr:
@@ -139,6 +140,31 @@ class Expr:
         """A function of the language with this as its first argument."""
         return Expr(N.Call(name.upper(), (self.node, *map(as_value, args))))
 
+    @property
+    def as_text(self) -> Methods:
+        """Methods of strings: ``doc.name.as_text.upper()``."""
+        return Methods(self, _TEXT)
+
+    @property
+    def as_date(self) -> Methods:
+        """Methods of dates: ``doc.born.as_date.year()``."""
+        return Methods(self, _DATE)
+
+    @property
+    def as_items(self) -> Methods:
+        """Methods of sequences: ``doc.tags.as_items.first()``."""
+        return Methods(self, _ITEMS)
+
+    @property
+    def as_number(self) -> Methods:
+        """Methods of numbers: ``doc.size.as_number.abs()``."""
+        return Methods(self, _NUMBER)
+
+    @property
+    def convert(self) -> Methods:
+        """Conversions and tests of types: ``doc.size.convert.string()``."""
+        return Methods(self, _TO)
+
     def __iter__(self) -> object:
         raise TypeError("an expression can't be iterated over")
 
@@ -146,6 +172,58 @@ class Expr:
         raise TypeError("use & and | for AND and OR")
 
 
+def _calls(**names: str) -> dict[str, Callable]:
+    return {k: (lambda e, *args, f=f: e.call(f, *args)) for k, f in names.items()}
+
+
+def _part(e: Expr, name: str, n: object) -> Expr:
+    return fn("DATEADD", name, n, e)
+
+
+_TEXT: dict[str, Callable] = _calls(
+    upper="UPPER", lower="LOWER", trim="TRIM", trim_start="LTRIM", trim_end="RTRIM", length="LENGTH", index_of="INDEXOF", substring="SUBSTRING", replace="REPLACE", pad_left="LPAD", pad_right="RPAD",
+    split="SPLIT", format="FORMAT", is_match="IS_MATCH", match="MATCH",
+) | {
+    "starts_with": Expr.startswith, "ends_with": Expr.endswith, "contains": Expr.contains, "equals": Expr.__eq__, "is_empty": lambda e: e.call("LENGTH") == 0, "char_at": lambda e, k: e.call("SUBSTRING", k, 1),
+    "join": lambda e, items: fn("JOIN", items, e), "concat": lambda e, *args: _sum([e, *args]),
+}
+_DATE: dict[str, Callable] = _calls(year="YEAR", month="MONTH", day="DAY", hour="HOUR", minute="MINUTE", second="SECOND", to_local="TO_LOCAL", to_utc="TO_UTC", format="FORMAT") | {
+    f"add_{k}s": (lambda e, n, k=k: _part(e, k, n)) for k in ("year", "month", "day", "hour", "minute", "second")
+} | {"date": lambda e: fn("DATETIME", e.call("YEAR"), e.call("MONTH"), e.call("DAY")), "diff": lambda e, part, other: fn("DATEDIFF", part, e, other)}
+_ITEMS: dict[str, Callable] = _calls(first="FIRST", last="LAST", count="COUNT", sum="SUM", average="AVG", min="MIN", max="MAX", to_array="ARRAY", distinct="DISTINCT", take="TOP", union="UNION", except_="EXCEPT", concat="CONCAT", join="JOIN") | {
+    "any": lambda e, body=None: (e if body is None else e.filter(body)).call("ANY"), "all": lambda e, body: e.call("COUNT") == e.filter(body).call("COUNT"), "contains": lambda e, x: e.any("=", x),
+    "element_at": lambda e, k: e[k], "where": Expr.filter, "select": Expr.map, "order_by": Expr.sort, "order_by_descending": lambda e, body: e.sort(body, True),
+}
+_NUMBER: dict[str, Callable] = _calls(abs="ABS", round="ROUND", pow="POW", format="FORMAT")
+_TO: dict[str, Callable] = _calls(
+    string="STRING", int32="INT32", int64="INT64", double="DOUBLE", decimal="DECIMAL", boolean="BOOLEAN", datetime="DATETIME", datetime_utc="DATETIME_UTC", binary="BINARY", guid="GUID", object_id="OBJECTID",
+    creation_time="OID_CREATIONTIME", is_null="IS_NULL", is_string="IS_STRING", is_int32="IS_INT32", is_int64="IS_INT64", is_double="IS_DOUBLE", is_decimal="IS_DECIMAL", is_number="IS_NUMBER", is_boolean="IS_BOOLEAN",
+    is_datetime="IS_DATETIME", is_array="IS_ARRAY", is_document="IS_DOCUMENT", is_binary="IS_BINARY", is_guid="IS_GUID", is_object_id="IS_OBJECTID", or_else="COALESCE", keys="KEYS", values="VALUES",
+) | {"has_value": lambda e: e != None, "get": lambda e, name: e[name]}  # noqa: E711  fmt: skip
+
+
+def _sum(terms: list) -> Expr:
+    out = terms[0]
+    for t in terms[1:]:
+        out = out + t
+    return out
+
+
+class Methods:
+    """Named methods of an expression, of one kind; each gives another expression."""
+
+    def __init__(self, expr: Expr, table: dict[str, Callable]):
+        self._expr, self._table = expr, table
+
+    def __getattr__(self, name: str) -> Callable[..., Expr]:
+        if name not in self._table:
+            raise AttributeError(f"no method {name}; there are {', '.join(sorted(self._table))}")
+        return lambda *args: self._table[name](self._expr, *args)
+
+    def __dir__(self) -> list[str]:
+        return sorted(self._table)
+
+
 #: The document of a row, and all rows: ``doc.a``, ``rows.a``.
 doc, rows = Expr(N.Path("$")), Expr(N.Path("*"))
 
