@@ -5,7 +5,7 @@ from docspark import registry
 
 @pytest.mark.parametrize(
     ("name", "table", "key"),
-    [("inc_array_parts_all", "lineitem", "l_orderkey"), ("arith_precedence_all", "lineitem", None), ("arith_date_ticks_all", "orders", None)],
+    [("inc_array_parts", "lineitem", "l_orderkey"), ("arith_precedence", "lineitem", None), ("arith_date_ticks", "orders", None)],
 )
 def test_covers_its_table(name, table, key, spark, data):
     rows = spark.read.parquet(f"{data}/{table}.parquet")
