@@ -326,3 +326,33 @@ def one_of_each(docs: DataFrame, n: int = SHINGLE_WORDS, threshold: float = THRE
     once, more = standing(stand.filter("rows = 1")), standing(stand.filter("rows > 1"))
     # one row of those that repeat an id and a text
     return once.unionByName(more.dropDuplicates([key])).select(*columns).unionByName(docs.filter("doc_id is null"))
+
+
+#: The query's rows in DuckDB's SQL: all pairs of texts that share an n-gram, and what they reach.
+ORACLE = rf"""
+with recursive texts as (
+  select row_number() over () as id, t, least, n_copies, regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+') as w
+  from (select coalesce(text, '') as t, min(doc_id) as least, count(*) as n_copies from documents where doc_id is not null group by 1)
+), sets as (
+  select id, case when len(w) < {SHINGLE_WORDS} then list_filter([array_to_string(w, ' ')], lambda x: x <> '')
+    else list_distinct(list_transform(range(1, len(w) - {SHINGLE_WORDS - 2}), lambda k: array_to_string(w[k:k + {SHINGLE_WORDS - 1}], ' '))) end as grams
+  from texts
+), held as (
+  select id, len(grams) as n, unnest(grams) as gram from sets
+), links as (
+  select a.id as one, b.id as two from held a join held b on a.gram = b.gram and a.id <> b.id
+  group by a.id, b.id, a.n, b.n having count(*) >= {THRESHOLD} * (a.n + b.n - count(*)) - 1e-9
+), reach(id, other) as (
+  select id, id from texts
+  union
+  select reach.id, links.two from reach join links on reach.other = links.one
+), classes as (
+  select reach.id, min(least) as class_id from reach join texts on texts.id = reach.other group by reach.id
+), linked as (
+  select one as id, count(*) as n_links, cast(sum(n_copies) as bigint) as n_rows from links join texts on texts.id = two group by one
+)
+select doc_id, class_id, n_copies, coalesce(n_links, 0) as n_links, coalesce(n_rows, 0) + n_copies - 1 as n_linked_docs
+from documents join texts on t = coalesce(text, '') join classes using (id) left join linked using (id) where doc_id is not null
+union all
+select doc_id, null, 1, 0, 0 from documents where doc_id is null
+"""

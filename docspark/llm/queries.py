@@ -71,4 +71,4 @@ QUERIES = {
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality_rules.ORACLE, "op6_perspective_rotation": chat.ORACLE, "op7_url_filter": url_filter.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality_rules.ORACLE, "op5_ngram_join": ngram_join.ORACLE, "op6_perspective_rotation": chat.ORACLE, "op7_url_filter": url_filter.ORACLE}

@@ -20,3 +20,9 @@ def test_text_ids(spark):
     assert got == {"a1": ("a1", 1), "a2": ("a1", 1), "b": ("b", 0), None: (None, 0)}
     assert sorted(str(r["doc_id"]) for r in ngram_join.one_of_each(docs).collect()) == ["None", "a1", "b"]
     assert ngram_join.ngram_join(docs).schema["class_id"].dataType.simpleString() == "string"
+
+
+def test_query_against_sql(same_as_oracle):
+    from docspark.llm import queries
+
+    same_as_oracle(queries.op5_ngram_join, queries.ORACLE_SQL["op5_ngram_join"])
