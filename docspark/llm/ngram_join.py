@@ -38,8 +38,8 @@ SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
 #: Bounds of a block: classes, and hashes in their sets.  A group holds two blocks.
-BLOCK_CLASSES = 512
-BLOCK_HASHES = 600_000
+BLOCK_CLASSES = 256
+BLOCK_HASHES = 300_000
 #: Parts that the rows of one label are dealt in where labels are joined: a component may hold a third of all rows.
 SALTS = 16
 
