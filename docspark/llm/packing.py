@@ -34,7 +34,7 @@ from .common import cut, text_batches
 #: Pieces that a partition gets on average: bounds the memory and time of a task.
 PARTITION_PIECES = 20_000
 #: Bytes of words and ids that a worker remembers, the first that it meets, with CACHE_EACH bytes for each beside them.
-CACHE_BYTES, CACHE_EACH = 140_000_000, 180
+CACHE_BYTES, CACHE_EACH = 100_000_000, 180
 #: Sequences of a partition that meet with those of others to win back what rounding up costs.
 TAILS = 3
 
@@ -85,26 +85,26 @@ class WordEncoder:
         self.by_words = splits_words(path)
         self.model = self.whole.model
         self.symbols = _byte_symbols()
-        self.known: dict[str, bytes] = {}  # of what stands between white space
-        self.pieces: dict[str, bytes] = {}  # of its parts
+        self.known: dict[str, bytes] = {}  # of what stands between white space, and of its parts, which mean the same alone
         self.room = CACHE_BYTES
 
-    def _remember(self, cache: dict[str, bytes], w: str, ids: bytes) -> bytes:
+    def _remember(self, w: str, ids: bytes) -> bytes:
         cost = len(w) + len(ids) + CACHE_EACH
         if cost <= self.room:
             self.room -= cost
-            cache[w] = ids
+            self.known[w] = ids
         return ids
 
     def _piece(self, w: str) -> bytes:
-        got = self.pieces.get(w)
+        got = self.known.get(w)
         if got is None:
             shown = w if w.isalpha() and w.isascii() else "".join([self.symbols[b] for b in w.encode()])
-            got = self._remember(self.pieces, w, np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes())
+            got = self._remember(w, np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes())
         return got
 
     def _word(self, w: str) -> bytes:
-        return self._remember(self.known, w, self._piece(w) if w.isalpha() else b"".join([self._piece(p) for p in _PIECES.findall(w)]))
+        parts = [w] if w.isalpha() else _PIECES.findall(w)
+        return self._piece(w) if parts == [w] else self._remember(w, b"".join([self._piece(p) for p in parts]))
 
     def __call__(self, text: str) -> bytes:
         if not self.by_words or _UNUSUAL.search(text):
@@ -228,7 +228,7 @@ def pack(items: DataFrame, capacity: int = 2048, partition_pieces: int = PARTITI
 
     state = ["piece_key", "length", "seq", "offset", "fill"]
     pool = items.select("piece_key", "length", F.lit("").alias("seq"), F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("fill"))
-    is_open = F.col("fill") < capacity
+    is_open, begins = F.col("fill") < capacity, F.col("offset") == 0  # a sequence has one piece at its beginning
     # what meets in a round: the open sequences of partitions with gaps; if that saves nothing, the tails of all; all
     meeting = (F.col("used") > F.col("bound"), F.col("tail"), F.lit(True))
     done: list[DataFrame] = []
@@ -239,15 +239,15 @@ def pack(items: DataFrame, capacity: int = 2048, partition_pieces: int = PARTITI
         key = "piece_key" if not round_ else "seq"  # whole open sequences move from the second round on
         dealt = pool.withColumn("part", F.pmod(F.xxhash64(F.lit(round_), key), F.lit(parts)).cast("int"))
         packed = cut(dealt.select("piece_key", "part", "length", "seq", "offset", "fill").groupBy("part").applyInPandas(_pack_part(capacity, round_), _STATE))
-        used, full = packed.agg(F.count_distinct("seq"), F.count_distinct(F.when(~is_open, F.col("seq")))).first()
+        used, full = packed.filter(begins).agg(F.count(F.lit(1)), F.count(F.when(~is_open, 1))).first()
         level = 0 if not round_ or used < before else level + 1
         done.append(packed.filter(~is_open))
         alive = packed.filter(is_open) if others is None else packed.filter(is_open).unionByName(others)
         ends = closed + aside + used <= bound or (parts == 1 and not round_)
         closed, n = closed + full, 0
         while not ends and not n and level < len(meeting):
-            n, before, all_open = alive.agg(F.sum(meeting[level].cast("long")), F.count_distinct(F.when(meeting[level], F.col("seq"))), F.count_distinct("seq")).first()
-            n, aside = n or 0, all_open - before
+            n, before, all_open = alive.agg(F.count(F.when(meeting[level], 1)), F.count(F.when(meeting[level] & begins, 1)), F.count(F.when(begins, 1))).first()
+            aside = all_open - before
             level += not n
         if not n:
             done.append(alive)
